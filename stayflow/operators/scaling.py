@@ -42,23 +42,23 @@ def log_likelihood(n: int, variance: float | None, lam: float, signed_log_sum: f
 def likelihood_grid(df: DataFrame, cols: list[str], grids: dict[str, list[float]]) -> dict[str, list[float | None]]:
     """Variance of the transformed column for every grid value, for all columns in one aggregate.
 
-    The grids are array literals, which generated code refers to by reference: a new grid in the next pass
-    reuses the compiled stage instead of compiling new constants.
+    The grid is one array literal that `inline` turns into columns. Generated code refers to such a literal by
+    reference, so the grid of the next pass reuses the compiled stage instead of compiling new constants.
     """
     size = len(next(iter(grids.values())))
-    lams = {c: F.array(*[F.lit(float(v)) for v in grids[c]]) for c in cols}
+    points = ", ".join(
+        f"named_struct('g', {g}, " + ", ".join(f"'l{i}', {float(grids[c][g])!r}D" for i, c in enumerate(cols)) + ")"
+        for g in range(size)
+    )
     rows = (
         df.select(*[q(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
-        .withColumn("g", F.explode(F.sequence(F.lit(1), F.lit(size))))
+        .select("*", F.expr(f"inline(array({points}))"))
         .groupBy("g")
-        .agg(*[
-            F.var_pop(yeo_johnson(F.col(f"x{i}"), F.element_at(lams[c], F.col("g")))).alias(f"v{i}")
-            for i, c in enumerate(cols)
-        ])
+        .agg(*[F.var_pop(yeo_johnson(F.col(f"x{i}"), F.col(f"l{i}"))).alias(f"v{i}") for i in range(len(cols))])
         .collect()
     )
     by_g = {r["g"]: r for r in rows}
-    return {c: [by_g[g][f"v{i}"] if g in by_g else None for g in range(1, size + 1)] for i, c in enumerate(cols)}
+    return {c: [by_g[g][f"v{i}"] if g in by_g else None for g in range(size)] for i, c in enumerate(cols)}
 
 
 def fit_lambdas(df: DataFrame, cols: list[str], passes: int = PASSES) -> dict[str, float]:
