@@ -165,12 +165,12 @@ def zscore_attributions(
 
 
 def global_feature_importance(df: DataFrame, names: list[str], top_n: int | None = 15, col: str = "attribution") -> DataFrame:
-    """Mean absolute attribution per feature, largest first."""
+    """Mean absolute attribution per feature, largest first. Complementary columns tie up to rounding noise, then by name."""
     one = df.agg(*[F.avg(F.abs(F.col(col)[i])).alias(f"a{i}") for i in range(len(names))])
     table = one.select(F.inline(F.array(*[
         F.struct(F.lit(n).alias("feature"), F.col(f"a{i}").alias("mean_abs_shap")) for i, n in enumerate(names)
     ])))
-    ordered = table.orderBy(F.desc("mean_abs_shap"), "feature")
+    ordered = table.orderBy(F.round("mean_abs_shap", 12).desc(), "feature")
     return ordered if top_n is None else ordered.limit(top_n)
 
 

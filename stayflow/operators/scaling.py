@@ -39,48 +39,58 @@ def log_likelihood(n: int, variance: float | None, lam: float, signed_log_sum: f
     return -n / 2.0 * math.log(variance) + (lam - 1.0) * signed_log_sum
 
 
-def likelihood_grid(df: DataFrame, cols: list[str], grids: dict[str, list[float]]) -> dict[str, list[float | None]]:
-    """Variance of the transformed column for every grid value, for all columns in one aggregate.
+def variance_grid(df: DataFrame, cols: list[str], grids: list[list[float]]) -> DataFrame:
+    """Variance `v<i>` of each transformed column for every grid point `g`, for all columns in one aggregate.
 
     The grid is one array literal that `inline` turns into columns. Generated code refers to such a literal by
     reference, so the grid of the next pass reuses the compiled stage instead of compiling new constants.
     """
-    size = len(next(iter(grids.values())))
     points = ", ".join(
-        f"named_struct('g', {g}, " + ", ".join(f"'l{i}', {float(grids[c][g])!r}D" for i, c in enumerate(cols)) + ")"
-        for g in range(size)
+        f"named_struct('g', {g}, " + ", ".join(f"'l{i}', {float(lam)!r}D" for i, lam in enumerate(lams)) + ")"
+        for g, lams in enumerate(zip(*grids))
     )
-    rows = (
+    return (
         df.select(*[q(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
         .select("*", F.expr(f"inline(array({points}))"))
         .groupBy("g")
-        .agg(*[F.var_pop(yeo_johnson(F.col(f"x{i}"), F.col(f"l{i}"))).alias(f"v{i}") for i in range(len(cols))])
-        .collect()
+        .agg(
+            *[F.var_pop(yeo_johnson(F.col(f"x{i}"), F.col(f"l{i}"))).alias(f"v{i}") for i in range(len(cols))],
+            *[F.count(f"x{i}").alias(f"n{i}") for i in range(len(cols))],
+            *[F.sum(signed_log(F.col(f"x{i}"))).alias(f"s{i}") for i in range(len(cols))],
+            *[F.first(f"l{i}").alias(f"l{i}") for i in range(len(cols))],
+        )
     )
-    by_g = {r["g"]: r for r in rows}
-    return {c: [by_g[g][f"v{i}"] if g in by_g else None for g in range(size)] for i, c in enumerate(cols)}
+
+
+def likelihood_table(df: DataFrame, cols: list[str], grid: list[float]) -> DataFrame:
+    """Log likelihood per column and exponent of a common grid, as rows (column, lambda, log_likelihood)."""
+    wide = variance_grid(df, cols, [grid] * len(cols))
+    score = F.array(*[
+        F.struct(
+            F.lit(c).alias("column"), F.col(f"l{i}").alias("lambda"),
+            (-F.col(f"n{i}") / 2 * F.ln(f"v{i}") + (F.col(f"l{i}") - 1) * F.col(f"s{i}")).alias("log_likelihood"),
+        )
+        for i, c in enumerate(cols)
+    ])
+    return wide.select(F.inline(score))
 
 
 def fit_lambdas(df: DataFrame, cols: list[str], passes: int = PASSES) -> dict[str, float]:
     """Maximum-likelihood exponent per column: `passes` aggregates, each shrinking the bracket ten-fold."""
-    base = df.agg(
-        *[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(cols)],
-        *[F.sum(signed_log(q(c).cast("double"))).alias(f"s{i}") for i, c in enumerate(cols)],
-    ).first()
-    lo, hi = {c: SEARCH_FROM for c in cols}, {c: SEARCH_TO for c in cols}
-    best = {c: 1.0 for c in cols}
+    lo, hi = [SEARCH_FROM] * len(cols), [SEARCH_TO] * len(cols)
+    best = [1.0] * len(cols)
     for _ in range(passes):
-        grids = {c: [lo[c] + (hi[c] - lo[c]) * j / (GRID - 1) for j in range(GRID)] for c in cols}
-        variances = likelihood_grid(df, cols, grids)
-        for i, c in enumerate(cols):
-            scores = [log_likelihood(base[f"n{i}"], v, g, base[f"s{i}"] or 0.0) for g, v in zip(grids[c], variances[c])]
-            top = max(scores)
-            if top == float("-inf"):  # constant column: leave it as it is
+        grids = [[lo[i] + (hi[i] - lo[i]) * j / (GRID - 1) for j in range(GRID)] for i in range(len(cols))]
+        rows = sorted(variance_grid(df, cols, grids).collect(), key=lambda r: r["g"])  # GRID rows
+        for i in range(len(cols)):
+            scores = [log_likelihood(r[f"n{i}"], r[f"v{i}"], r[f"l{i}"], r[f"s{i}"] or 0.0) for r in rows]
+            top = max(scores, default=float("-inf"))
+            if top == float("-inf"):  # constant or empty column: leave it as it is
                 continue
-            best[c] = grids[c][scores.index(top)]
-            step = (hi[c] - lo[c]) / (GRID - 1)
-            lo[c], hi[c] = best[c] - step, best[c] + step
-    return best
+            best[i] = grids[i][scores.index(top)]
+            step = (hi[i] - lo[i]) / (GRID - 1)
+            lo[i], hi[i] = best[i] - step, best[i] + step
+    return dict(zip(cols, best))
 
 
 class _ScalerParams(HasInputCols, HasOutputCols, HasOutputCol):
