@@ -54,8 +54,11 @@ def build_integrated_customer_table(
 ) -> DataFrame:
     """Customers with R/F/M, cluster, persona, churn probability and tier; one text key `CustomerID`.
 
-    Labels and probabilities arrive as columns of their tables. The customer join is left to AQE.
+    Labels and probabilities arrive as columns of their tables. Both have one row per customer and are read up
+    to three times (overlap, profile, join), so they are kept instead of going back to the transactions each
+    time. The customer join is left to AQE.
     """
+    rfm, churn = rfm.persist(), churn.select(ID_COL, q(probability_col)).persist()
     if fallback and not id_overlap(rfm, churn, rfm_id).first()["overlap"]:
         return fallback_table(churn, probability_col)
     segments = customer_personas(rfm, label_col).select(

@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stayflow.functions.columns import q
+from stayflow.functions.sizing import iteration_ready
 from stayflow.operators.distances import as_double_array, silhouette_scores
-from stayflow.operators.segmentation import COVARIANCE_TYPES, iteration_ready, run_parallel
+from stayflow.operators.segmentation import COVARIANCE_TYPES, run_parallel
 
 RIDGE = 1e-6  # added to every variance
 GMM_METRICS = T.StructType([

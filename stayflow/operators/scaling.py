@@ -16,21 +16,19 @@ from pyspark.sql import functions as F
 from stayflow.functions.columns import q
 from stayflow.operators.rfm import RFM_COLS, build_rfm_table
 
-SEARCH_FROM, SEARCH_TO, GRID, PASSES = -5.0, 5.0, 21, 7
+SEARCH_FROM, SEARCH_TO, GRID, PASSES = -5.0, 5.0, 21, 4
 
 
 def yeo_johnson(x: Column, lam: Column | float) -> Column:
     """The transform of Yeo and Johnson (2000); `lam` is a number or a column."""
-    if isinstance(lam, (int, float)):
-        lam = F.lit(float(lam))
-    other = 2.0 - lam
-    above = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1.0, lam) - 1.0) / lam)
-    below = F.when(F.abs(other) < 1e-12, -F.log1p(-x)).otherwise(-(F.pow(1.0 - x, other) - 1.0) / other)
-    return F.when(x >= 0, above).otherwise(below)
+    return _power_step(x >= 0, F.log1p(F.abs(x)), F.lit(float(lam)) if isinstance(lam, (int, float)) else lam)
 
 
-def signed_log(x: Column) -> Column:
-    return F.signum(x) * F.log1p(F.abs(x))
+def _power_step(upper: Column, log: Column, lam: Column) -> Column:
+    """The transform from log(|x| + 1): ((|x| + 1)^e - 1) / e is expm1(e log) / e, which stays exact near e = 0."""
+    exponent = F.when(upper, lam).otherwise(2.0 - lam)
+    size = F.when(F.abs(exponent) < 1e-12, log).otherwise(F.expm1(exponent * log) / exponent)
+    return F.when(upper, size).otherwise(-size)
 
 
 def log_likelihood(n: int, variance: float | None, lam: float, signed_log_sum: float) -> float:
@@ -49,14 +47,20 @@ def variance_grid(df: DataFrame, cols: list[str], grids: list[list[float]]) -> D
         f"named_struct('g', {g}, " + ", ".join(f"'l{i}', {float(lam)!r}D" for i, lam in enumerate(lams)) + ")"
         for g, lams in enumerate(zip(*grids))
     )
+    base = []
+    for i, c in enumerate(cols):
+        x = q(c).cast("double")
+        base += [(x >= 0).alias(f"u{i}"), F.log1p(F.abs(x)).alias(f"x{i}")]
+    moved = [_power_step(F.col(f"u{i}"), F.col(f"x{i}"), F.col(f"l{i}")) for i in range(len(cols))]
     return (
-        df.select(*[q(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+        df.select(*base)
         .select("*", F.expr(f"inline(array({points}))"))
         .groupBy("g")
         .agg(
-            *[F.var_pop(yeo_johnson(F.col(f"x{i}"), F.col(f"l{i}"))).alias(f"v{i}") for i in range(len(cols))],
+            *[F.var_pop(m).alias(f"v{i}") for i, m in enumerate(moved)],
             *[F.count(f"x{i}").alias(f"n{i}") for i in range(len(cols))],
-            *[F.sum(signed_log(F.col(f"x{i}"))).alias(f"s{i}") for i in range(len(cols))],
+            # sum of sign(x) log(|x| + 1), the Jacobian term of the likelihood
+            *[F.sum(F.when(F.col(f"u{i}"), F.col(f"x{i}")).otherwise(-F.col(f"x{i}"))).alias(f"s{i}") for i in range(len(cols))],
             *[F.first(f"l{i}").alias(f"l{i}") for i in range(len(cols))],
         )
     )
@@ -76,10 +80,14 @@ def likelihood_table(df: DataFrame, cols: list[str], grid: list[float]) -> DataF
 
 
 def fit_lambdas(df: DataFrame, cols: list[str], passes: int = PASSES) -> dict[str, float]:
-    """Maximum-likelihood exponent per column: `passes` aggregates, each shrinking the bracket ten-fold."""
+    """Maximum-likelihood exponent per column.
+
+    Each pass is one aggregate over a grid and shrinks the bracket ten-fold; a parabola through the best point
+    and its neighbours of the last pass settles the remaining digits.
+    """
     lo, hi = [SEARCH_FROM] * len(cols), [SEARCH_TO] * len(cols)
     best = [1.0] * len(cols)
-    for _ in range(passes):
+    for step_no in range(passes):
         grids = [[lo[i] + (hi[i] - lo[i]) * j / (GRID - 1) for j in range(GRID)] for i in range(len(cols))]
         rows = sorted(variance_grid(df, cols, grids).collect(), key=lambda r: r["g"])  # GRID rows
         for i in range(len(cols)):
@@ -87,12 +95,21 @@ def fit_lambdas(df: DataFrame, cols: list[str], passes: int = PASSES) -> dict[st
             top = max(scores, default=float("-inf"))
             if top == float("-inf"):  # constant or empty column: leave it as it is
                 continue
-            best[i] = grids[i][scores.index(top)]
+            at = scores.index(top)
+            best[i] = grids[i][at]
             step = (hi[i] - lo[i]) / (GRID - 1)
             lo[i], hi[i] = best[i] - step, best[i] + step
+            if step_no == passes - 1 and 0 < at < GRID - 1:
+                best[i] += step * _parabola_top(scores[at - 1], top, scores[at + 1])
     return dict(zip(cols, best))
 
 
+def _parabola_top(left: float, mid: float, right: float) -> float:
+    """Offset of the vertex from the middle of three equally spaced points, in steps."""
+    bend = left - 2 * mid + right
+    return 0.5 * (left - right) / bend if bend < 0 and math.isfinite(bend) else 0.0
+
+
 class _ScalerParams(HasInputCols, HasOutputCols, HasOutputCol):
     lambdas = Param(Params._dummy(), "lambdas", "exponent per input column", typeConverter=TypeConverters.toListFloat)
 

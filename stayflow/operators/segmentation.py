@@ -13,10 +13,10 @@ from pyspark.sql import types as T
 
 from stayflow.functions.columns import half_even, nan_to_null, q
 from stayflow.functions.rules import persona
+from stayflow.functions.sizing import iteration_ready
 from stayflow.operators.distances import davies_bouldin, silhouette_scores
 
 PARALLEL_FITS = 8
-ROWS_PER_FIT_PARTITION = 50_000
 # Fixed order: ties between covariance types go to the earlier one.
 COVARIANCE_TYPES = ("full", "tied", "diag", "spherical")
 
@@ -26,16 +26,6 @@ KMEANS_METRICS = T.StructType([
 ])
 
 
-def iteration_ready(df: DataFrame) -> DataFrame:
-    """A persisted table in as many partitions as its size needs.
-
-    Iterative fits run dozens of short jobs over it, and task overhead dominates when each task has few rows.
-    """
-    kept = df.persist()
-    wanted = max(1, -(-kept.count() // ROWS_PER_FIT_PARTITION))
-    return kept.coalesce(wanted)
-
-
 def run_parallel(tasks: list, fn) -> list:
     """Overlaps independent fits: small jobs leave executors idle when they run one by one."""
     if len(tasks) <= 1:

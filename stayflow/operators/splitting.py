@@ -53,18 +53,18 @@ def class_ranks(
     hashed = df.withColumn("_hash", order_hash(q(key_col), seed)).withColumn(
         "_prefix", F.substring("_hash", 1, _digits(n))
     )
-    hist = hashed.groupBy(q(label_col).alias("_label"), "_prefix").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_label").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    starts = hist.select("_label", "_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    hist = hashed.groupBy(q(label_col).alias("_class"), "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_class").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    starts = hist.select("_class", "_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     # copies of one key tie on the hash; the row content then decides, so the order does not depend on partitions
     ties = F.xxhash64(*[q(c) for c in df.columns])
     inside = Window.partitionBy(q(label_col), "_prefix").orderBy("_hash", q(key_col), ties)
     joined = hashed.join(
         F.broadcast(starts.withColumnRenamed("_prefix", "_p")),
-        (q(label_col) == F.col("_label")) & (F.col("_prefix") == F.col("_p")),
+        (q(label_col) == F.col("_class")) & (F.col("_prefix") == F.col("_p")),
     )
     return joined.withColumn("_rank", F.col("_start") + F.row_number().over(inside)).drop(
-        "_hash", "_prefix", "_p", "_label", "_start"
+        "_hash", "_prefix", "_p", "_class", "_start"
     )
 
 

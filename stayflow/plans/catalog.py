@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stayflow.functions.columns import q
 from stayflow.functions.rules import churn_prediction, risk_tier
+from stayflow.functions.sizing import iteration_ready
 from stayflow.operators import attribution, classifiers, distances, integration, metrics, oversampling, scaling, scoring
 from stayflow.operators import segmentation, splitting
 from stayflow.operators.churn_features import ChurnFeatureEngineer, prepare_churn_features, with_derived
@@ -93,8 +94,8 @@ def banded(df: DataFrame, k: int):
 
 
 def split_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rows = churn(spark, sf).persist()
-    return splitting.split_churn_data(rows)
+    train, test = splitting.split_churn_data(churn(spark, sf).persist())
+    return train.persist(), test.persist()
 
 
 # ---------------------------------------------------------------- sources, cleaning
@@ -270,14 +271,14 @@ def gmm_grid(spark, sf):
 
 @query
 def gmm_soft(spark, sf):
-    rows = segmentation.iteration_ready(scaled_rfm(spark, sf))
+    rows = iteration_ready(scaled_rfm(spark, sf))
     model, _ = fit_gmm(rows, 3, "full", restarts=1)
     return soft_labels(model, rows).select("Customer ID", "Cluster_ID", "probability")
 
 
 @query
 def gmm_soft_diag(spark, sf):
-    rows = segmentation.iteration_ready(scaled_rfm(spark, sf))
+    rows = iteration_ready(scaled_rfm(spark, sf))
     model, _ = fit_gmm(rows, 3, "diag", restarts=1)
     return soft_labels(model, rows).select("Customer ID", "Cluster_ID", "probability")
 
@@ -477,13 +478,17 @@ def explain_topk(spark, sf):
         out.select("customer_id", F.lit(side).alias("side"), F.posexplode(col).alias("pos", "f"))
         for side, col in (("risk", "top_risk_drivers"), ("protective", "top_protective_factors"))
     ]
-    return sides[0].unionByName(sides[1]).select("customer_id", "side", (F.col("pos") + 1).alias("rank"), "f.*")
+    # ratios of decimal sums end in exact halves, which no digit count keeps stable across engines: whole part only
+    return sides[0].unionByName(sides[1]).select(
+        "customer_id", "side", (F.col("pos") + 1).alias("rank"), "f.feature", F.round("f.shap_value", 4).alias("shap_value"),
+        F.floor("f.feature_value").cast("bigint").alias("feature_value_floor"), "f.impact",
+    )
 
 
 def _forest(spark: SparkSession, sf: str) -> tuple[PipelineModel, DataFrame]:
     rows = churn(spark, sf).persist()
     features, _, stage = prepare_churn_features(rows)
-    model = classifiers.train_random_forest(features.persist(), trees=10, depth=4)
+    model = classifiers.train_random_forest(iteration_ready(features), trees=10, depth=4)
     return PipelineModel(stages=[stage, model]), rows
 
 

@@ -361,7 +361,7 @@ ranked AS (
   SELECT *, 'risk' AS side, row_number() OVER (PARTITION BY customer_id ORDER BY shap_value DESC, place) AS rank FROM factors WHERE shap_value > 0
   UNION ALL
   SELECT *, 'protective', row_number() OVER (PARTITION BY customer_id ORDER BY shap_value, place) FROM factors WHERE shap_value < 0)
-SELECT customer_id, side, CAST(rank AS INT) AS rank, feature, shap_value, feature_value, impact FROM ranked WHERE rank <= 5""",
+SELECT customer_id, side, CAST(rank AS INT) AS rank, feature, shap_value, CAST(floor(feature_value) AS BIGINT) AS feature_value_floor, impact FROM ranked WHERE rank <= 5""",
     "score_post": "WITH " + CHURN + f"""
 SELECT CASE WHEN CAST(CustomerID AS BIGINT) % 2 = 1 THEN CustomerID ELSE printf('BATCH_%04d', CAST(CustomerID AS BIGINT) + 1) END AS customer_id,
        round(p, 4) AS churn_probability, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS churn_prediction, {TIER} AS risk_tier,
