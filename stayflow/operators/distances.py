@@ -17,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -194,10 +193,10 @@ def _assign_cells(df: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 def _cells_to_visit(df: DataFrame, pivots: np.ndarray, radii: np.ndarray, id_type: str) -> DataFrame:
     """One row per (point, other cell) that may hold a neighbour within the point's radius."""
-    between = _distances(pivots, pivots)
-    np.fill_diagonal(between, np.inf)
-
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # P x P distances are cheaper to compute per task than to ship
+        between = _distances(pivots, pivots)
+        np.fill_diagonal(between, np.inf)
         for batch in batches:
             if not len(batch):
                 continue
@@ -248,17 +247,59 @@ def _pair_sums(widths: list[int]):
 
 
 def silhouette_samples(
-    df: DataFrame, label_cols: list[str], id_col: str = "id", features_col: str = "features", n_rows: int | None = None
+    df: DataFrame, label_cols: list[str], id_col: str = "id", features_col: str = "features", mode: str = "auto",
+    n_rows: int | None = None,
 ) -> DataFrame:
-    """Exact Euclidean silhouette per row and labelling (columns `silhouette_<label>`); labels are 0..K-1.
+    """Silhouette per row and labelling (columns `silhouette_<label>`); labels are 0..K-1.
+
+    `euclidean` is quadratic, `squared` linear; `auto` takes the first up to EXACT_SILHOUETTE_ROWS rows.
+    """
+    n = df.count() if n_rows is None else n_rows
+    if _metric(mode, n) == "squared":
+        return _squared_samples(df, label_cols, id_col, features_col)
+    return _euclidean_samples(df, label_cols, id_col, features_col, n)
+
 
-    All labellings share one pass over the distances.
+def _metric(mode: str, n: int) -> str:
+    return mode if mode != "auto" else ("euclidean" if n <= EXACT_SILHOUETTE_ROWS else "squared")
+
+
+def _squared_samples(df: DataFrame, label_cols: list[str], id_col: str, features_col: str) -> DataFrame:
+    """Per-row silhouette under the squared metric, from cluster sums alone.
+
+    The squared distances of x to the n rows of a cluster add up to n |x|^2 - 2 x.sum + (sum of squared norms).
     """
+    rows = as_double_array(df.select(q(id_col), q(features_col).alias("x"), *[q(c).cast("int").alias(c) for c in label_cols]), "x")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+    rows = rows.withColumn("_norm", dot(F.col("x"), F.col("x")))
+    for c in label_cols:
+        stats = rows.groupBy(c).agg(
+            vector_to_array(Summarizer.sum(array_to_vector(F.col("x")))).alias("total"),
+            F.sum("_norm").alias("norms"), F.count(F.lit(1)).alias("n"),
+        )
+        packed = stats.agg(F.collect_list(F.struct(F.col(c).alias("label"), "total", "norms", "n")).alias("cs")).first()["cs"]  # K structs
+        sizes = [0] * (1 + max(p["label"] for p in packed))
+        parts = {p["label"]: p for p in packed}
+        for p in packed:
+            sizes[p["label"]] = p["n"]
+        for j in range(len(sizes)):
+            if j in parts:
+                center = F.array(*[F.lit(float(v)) for v in parts[j]["total"]])
+                total = F.greatest(F.col("_norm") * sizes[j] - 2.0 * dot(F.col("x"), center) + parts[j]["norms"], F.lit(0.0))
+            else:
+                total = F.lit(0.0)
+            rows = rows.withColumn(f"_s{j}", total)
+        names = [f"_s{j}" for j in range(len(sizes))]
+        rows = rows.withColumn(f"silhouette_{c}", _silhouette_value(names, sizes, F.col(c))).drop(*names)
+    return rows.select(q(id_col), *[F.col(f"silhouette_{c}") for c in label_cols])
+
+
+def _euclidean_samples(df: DataFrame, label_cols: list[str], id_col: str, features_col: str, n: int) -> DataFrame:
+    """All labellings share one pass over the distances."""
     pts = as_double_array(
         df.select(q(id_col).alias("id"), q(features_col).alias("x"), F.array(*[q(c).cast("int") for c in label_cols]).alias("labels")),
         "x",
     )
-    n = pts.count() if n_rows is None else n_rows
     sizes = cluster_sizes(df, label_cols)
     widths = [len(sizes[c]) for c in label_cols]
     # blocks of fixed size; small inputs still get enough blocks to use several cores
@@ -315,20 +356,15 @@ def silhouette_scores(
     first up to EXACT_SILHOUETTE_ROWS rows. Either way every row counts. One populated cluster gives None.
     """
     n = df.count()
-    metric = mode if mode != "auto" else ("euclidean" if n <= EXACT_SILHOUETTE_ROWS else "squared")
+    metric = _metric(mode, n)
     sizes = cluster_sizes(df, label_cols)
     usable = [c for c in label_cols if sum(s > 0 for s in sizes[c]) > 1]
     out: dict[str, float | None] = {c: None for c in label_cols}
-    if metric == "euclidean" and usable:
-        row = silhouette_samples(df, usable, id_col, features_col, n).agg(
+    if usable:
+        row = silhouette_samples(df, usable, id_col, features_col, metric, n).agg(
             *[F.avg(f"silhouette_{c}").alias(c) for c in usable]
         ).first()
         out.update({c: row[c] for c in usable})
-    elif usable:
-        vectors = as_double_array(df, features_col).withColumn(features_col, array_to_vector(q(features_col)))
-        for c in usable:
-            evaluator = ClusteringEvaluator(featuresCol=features_col, predictionCol="_pred", metricName="silhouette")
-            out[c] = evaluator.evaluate(vectors.withColumn("_pred", q(c).cast("double")))
     return out, metric
 
 

@@ -68,9 +68,9 @@ def score_table(df: DataFrame, label_col: str, score_col: str) -> DataFrame:
 
 def ranking_metrics(df: DataFrame, label_col: str = "Churn", score_col: str = "p") -> DataFrame:
     """ROC-AUC (ties count half) and average precision, exact, from running counts over distinct scores."""
-    scores = running_totals(
-        score_table(df, label_col, score_col), "score", {"pos": "cum_pos", "neg": "cum_neg"}, descending=True
-    )
+    # kept, because range cuts, range totals and running counts each read it; scoring runs once
+    table = score_table(df, label_col, score_col).persist()
+    scores = running_totals(table, "score", {"pos": "cum_pos", "neg": "cum_neg"}, descending=True)
     sums = scores.agg(
         F.sum("pos").alias("n_pos"),
         F.sum("neg").alias("n_neg"),

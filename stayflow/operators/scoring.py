@@ -30,9 +30,9 @@ def batch_ids(df: DataFrame, seq_col: str, id_col: str = ID_COL) -> DataFrame:
     return df.withColumn("customer_id", F.coalesce(given, made))
 
 
-def with_positions(df: DataFrame, key_col: str, out_col: str = "seq", tie_cols: list[str] | None = None) -> DataFrame:
-    """Positions in key order for callers without a position column; no window over the whole table."""
-    return global_positions(df, key_col, out_col, tie_cols)
+def with_positions(df: DataFrame, key_col: str, out_col: str = "seq") -> DataFrame:
+    """Positions in the order of a unique numeric key, for callers without a position column."""
+    return global_positions(df, key_col, out_col)
 
 
 def score_rows(scored: DataFrame, model_version: str, probability_col: str = "p", id_col: str = "customer_id") -> DataFrame:

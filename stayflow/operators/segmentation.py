@@ -7,7 +7,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +31,7 @@ def run_parallel(tasks: list, fn) -> list:
     if len(tasks) <= 1:
         return [fn(t) for t in tasks]
     with ThreadPool(min(PARALLEL_FITS, len(tasks))) as pool:
-        return pool.map(inheritable_thread_target(fn), tasks)
+        return pool.map(inheritable_thread_target(SparkSession.active())(fn), tasks)
 
 
 def fit_kmeans(

@@ -521,8 +521,7 @@ def score_post(spark, sf):
 
 @query
 def batch_positions(spark, sf):
-    rows = table(spark, sf, "customer").select("c_custkey", "c_acctbal").persist()
-    placed = scoring.with_positions(rows, "c_acctbal", tie_cols=["c_custkey"])
+    placed = scoring.with_positions(table(spark, sf, "customer").select("c_custkey").persist(), "c_custkey")
     return scoring.batch_ids(placed, "seq").select("customer_id", "c_custkey")
 
 

@@ -367,7 +367,7 @@ SELECT CASE WHEN CAST(CustomerID AS BIGINT) % 2 = 1 THEN CustomerID ELSE printf(
        round(p, 4) AS churn_probability, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS churn_prediction, {TIER} AS risk_tier,
        round(CASE WHEN p >= 0.5 THEN p ELSE 1 - p END, 4) AS confidence_score, 'stand_in' AS model_version FROM prob""",
     "batch_positions": """
-SELECT printf('BATCH_%04d', row_number() OVER (ORDER BY c_acctbal, c_custkey)) AS customer_id, c_custkey FROM customer""",
+SELECT printf('BATCH_%04d', row_number() OVER (ORDER BY c_custkey)) AS customer_id, c_custkey FROM customer""",
     "unknown_customers": "WITH " + RFM + """
 SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS customer_id FROM part WHERE CAST(p_partkey AS VARCHAR) NOT IN (SELECT "Customer ID" FROM rfm)""",
     "known_customers": "WITH " + RFM + """

@@ -83,11 +83,21 @@ def test_silhouette_matches_brute_force(spark, monkeypatch, block):
     truth = np.arange(150) // 50
     odd = np.where(np.arange(150) == 3, 2, np.arange(150) % 2)  # a cluster of one
     df = df.withColumn("odd", F.when(F.col("id") == "3", 2).otherwise(F.col("id").cast("int") % 2))
-    got = D.silhouette_samples(df, ["truth", "odd"], "id", "features").toPandas().set_index("id").loc[[str(i) for i in range(150)]]
+    got = D.silhouette_samples(df, ["truth", "odd"], "id", "features", "euclidean").toPandas().set_index("id").loc[[str(i) for i in range(150)]]
     assert np.allclose(got["silhouette_truth"], brute_silhouette(x, truth))
     assert np.allclose(got["silhouette_odd"], brute_silhouette(x, odd))
 
 
+def test_squared_mode_equals_the_built_in_evaluator(spark):
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    df, _ = blobs(spark)
+    df = df.withColumn("other", (F.col("id").cast("int") % 4)).persist()
+    got, _ = D.silhouette_scores(df, ["truth", "other"], "id", mode="squared")
+    for c in ("truth", "other"):
+        want = ClusteringEvaluator(predictionCol="p").evaluate(df.withColumn("p", F.col(c).cast("double")))
+        assert got[c] == pytest.approx(want, abs=1e-9)
+
+
 def test_silhouette_modes(spark):
     df, x = blobs(spark)
     exact, metric = D.silhouette_scores(df, ["truth"], "id")
