@@ -132,7 +132,7 @@ def retail_retention_query(spark, sf):
 
 @query
 def churn_clean(spark, sf):
-    return rounded(churn(spark, sf))
+    return as_float(churn(spark, sf))
 
 
 # ---------------------------------------------------------------- RFM and scaling
@@ -545,7 +545,7 @@ def known_customers(spark, sf):
 def profile_defaults(spark, sf):
     """Profiles without two of the features and with gaps in others."""
     rows = churn(spark, sf).drop("Gender", "CashbackAmount")
-    return rounded(scoring.apply_defaults(rows).select(ID_COL, *PROFILE_DEFAULTS))
+    return as_float(scoring.apply_defaults(rows).select(ID_COL, *PROFILE_DEFAULTS))
 
 
 @query

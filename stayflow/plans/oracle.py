@@ -259,8 +259,8 @@ def _lambda_grid() -> str:
 
 
 _defaults = ", ".join(
-    f"'{v}' AS {c}" if c == "Gender" else f"{float(v)!r}::DOUBLE AS {c}" if c == "CashbackAmount"
-    else f"coalesce({c}, '{v}') AS {c}" if isinstance(v, str) else f"round(coalesce({c}, {float(v)!r}), 6) AS {c}"
+    f"'{v}' AS {c}" if c == "Gender" else f"CAST({float(v)!r} AS REAL) AS {c}" if c == "CashbackAmount"
+    else f"coalesce({c}, '{v}') AS {c}" if isinstance(v, str) else f"CAST(coalesce({c}, {float(v)!r}) AS REAL) AS {c}"
     for c, v in PROFILE_DEFAULTS.items()
 )
 _HASH = "CAST('0x' || substr(md5(CustomerID || '|{0}'), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
@@ -279,7 +279,7 @@ SELECT "Customer ID", Invoice, strftime(InvoiceDate, '%Y-%m-%d %H:%M:%S') AS Inv
 SELECT count(*) AS initial_rows, count(CASE WHEN CustomerIdRaw IS NOT NULL AND Quantity > 0 AND Price > 0 THEN 1 END) AS final_rows,
        round(count(CASE WHEN CustomerIdRaw IS NOT NULL AND Quantity > 0 AND Price > 0 THEN 1 END) * 100.0::DOUBLE / count(*), 6) AS retained_pct FROM retail_raw""",
     "churn_clean": "WITH " + CHURN + " SELECT * REPLACE (" + ", ".join(
-        f"round({c}, 6) AS {c}" for c in NUMERICAL_COLS) + ") FROM churn",
+        f"CAST({c} AS REAL) AS {c}" for c in NUMERICAL_COLS) + ") FROM churn",
     "rfm_table": "WITH " + RFM + ' SELECT "Customer ID", Recency, Frequency, round(Monetary, 3) AS Monetary FROM rfm',
     "rfm_custom_snapshot": "WITH " + _rfm("max(TIMESTAMP '2000-06-15 12:50:00')")
     + ' SELECT "Customer ID", Recency, Frequency, round(Monetary, 3) AS Monetary FROM rfm',
