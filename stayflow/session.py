@@ -52,7 +52,6 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    # a name of its own: PySpark keeps no "is it set" accessor that works for every version
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(spark))
