@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stayflow.llm import exact_dedup, mixing, sharding
+from stayflow.llm import exact_dedup, mixing, sharding, simhash
 from stayflow.llm.common import documents
 from stayflow.llm.sql import ORACLE  # noqa: F401  the entry module reads it here
 
@@ -17,6 +17,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(documents(spark, sf_dir))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_classes(documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.dedup_exact(spark, f"{sf_dir}/documents.parquet")
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -31,6 +35,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
+    "op5_simhash": op5_simhash,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_sharding": op10_sharding,
 }
