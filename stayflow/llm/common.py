@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +55,14 @@ def salt_of(n: int, *columns: Column) -> Column:
 def over_salts(df: DataFrame, n: int) -> DataFrame:
     """Every row once for each salt, for the small side of a join whose large side has hot keys."""
     return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+
+_BUILT: dict[str, Any] = {}
+
+
+def once(key: str, build: Callable[[], Any]) -> Any:
+    """What `build` makes, kept by a Python worker from task to task; a new key replaces the old one."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = build()
+    return _BUILT[key]
