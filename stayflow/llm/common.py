@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,3 +66,14 @@ def once(key: str, build: Callable[[], Any]) -> Any:
         _BUILT.clear()
         _BUILT[key] = build()
     return _BUILT[key]
+
+
+def text_chunks(text: str, size: int = 1 << 22) -> Iterator[str]:
+    """A long text in parts that end before white space, so that no word is cut and memory is bounded."""
+    start = 0
+    while start < len(text):
+        end = start + size
+        while end < len(text) and not text[end].isspace():
+            end += 1
+        yield text[start:end]
+        start = end

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stayflow.llm import decontaminate, exact_dedup, mixing, sharding, simhash, token_counts
+from stayflow.llm import decontaminate, exact_dedup, language_id, mixing, sharding, simhash, token_counts
 from stayflow.llm.common import documents
 from stayflow.llm.sql import ORACLE  # noqa: F401  the entry module reads it here
 
@@ -31,6 +31,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.dedup_exact(spark, f"{sf_dir}/documents.parquet")
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op5_simhash": op5_simhash,
     "op6_token_counts": op6_token_counts,
+    "op7_language_id": op7_language_id,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_sharding": op10_sharding,
 }
