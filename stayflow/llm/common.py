@@ -77,3 +77,17 @@ def text_chunks(text: str, size: int = 1 << 22) -> Iterator[str]:
             end += 1
         yield text[start:end]
         start = end
+
+
+#: Rows of a side table (each under 200 bytes) up to which it is broadcast.
+BROADCAST_ROWS = 50_000
+SALTS = 32
+
+
+def attached(rows: DataFrame, table: DataFrame, on: Column, spread: Column) -> DataFrame:
+    """Inner join with a table of one row a key: a broadcast while its counted rows stay below the bound, else a shuffle
+    in which rows of a hot key spread over salts by `spread`."""
+    if table.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), on)
+    salted = rows.withColumn("row_salt", salt_of(SALTS, spread))
+    return salted.join(over_salts(table, SALTS), on & (F.col("row_salt") == F.col("salt"))).drop("row_salt", "salt")

@@ -17,14 +17,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayflow.functions.columns import hash_uniform, q
-from stayflow.llm.common import kept_whole, over_salts, packed, salt_of, unpacked, word_count
+from stayflow.llm.common import attached, kept_whole, packed, unpacked, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2
 SEED = "mix-1"
-#: More sources than this are joined by a shuffle with salted keys instead of a broadcast (a row is under 100 bytes).
-BROADCAST_SOURCES = 50_000
-SALTS = 32
 
 
 def source_targets(per_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -66,12 +63,7 @@ def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: s
     )
     rows = packed(docs, **own) if keep_row else docs.select(*[c.alias(name) for name, c in own.items()])
     small = targets.withColumnRenamed("source", "of")
-    if targets.count() <= BROADCAST_SOURCES:
-        joined = rows.join(F.broadcast(small), F.col("source").eqNullSafe(F.col("of")))
-    else:
-        joined = rows.withColumn("row_salt", salt_of(SALTS, F.col("u"))).join(
-            over_salts(small, SALTS), F.col("source").eqNullSafe(F.col("of")) & (F.col("row_salt") == F.col("salt"))
-        )
+    joined = attached(rows, small, F.col("source").eqNullSafe(F.col("of")), F.col("u"))
     whole = F.floor("rate")
     copies = whole + (F.col("u") < F.col("rate") - whole).cast("long")
     return joined.withColumn("copies", copies)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stayflow.llm import decontaminate, exact_dedup, language_id, mixing, sharding, simhash, token_counts
+from stayflow.llm import decontaminate, exact_dedup, language_id, mixing, quality, sharding, simhash, token_counts
 from stayflow.llm.common import documents
 from stayflow.llm.sql import ORACLE  # noqa: F401  the entry module reads it here
 
@@ -40,9 +41,17 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
+def sites_of(docs: DataFrame) -> tuple[Column, Column]:
+    """Documents name no address: the source is the host, the language of a source its path."""
+    return F.col("source"), F.col("lang")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), *sites_of(docs))
 
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = sharding.shard_places(documents(spark, sf_dir), SHARDS)
     return places.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
@@ -54,5 +63,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
 }
