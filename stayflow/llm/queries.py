@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayflow.llm import decontaminate, exact_dedup, language_id, mixing, quality, sharding, simhash, token_counts
+from stayflow.llm import decontaminate, exact_dedup, language_id, line_dedup, mixing, quality, sharding, simhash, substring_dedup, token_counts
 from stayflow.llm.common import documents
 from stayflow.llm.sql import ORACLE  # noqa: F401  the entry module reads it here
 
@@ -18,10 +18,27 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return done.select(
+        "doc_id", "n_lines", "n_deleted", F.array_join(F.col("deleted_lines").cast("array<string>"), ",").alias("deleted_lines"),
+        F.sha2("text", 256).alias("clean_sha256"),
+    )
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(documents(spark, sf_dir))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.dedup_units(documents(spark, sf_dir))
+    spans = F.transform("removed", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
+    return done.select(
+        "doc_id", F.size("removed").cast("long").alias("n_removed"), F.array_join(spans, ",").alias("removed"),
+        F.array_join(F.col("kept_in").cast("array<string>"), ",").alias("kept_in"), F.sha2("text", 256).alias("clean_sha256"),
+    )
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_classes(documents(spark, sf_dir))
 
@@ -58,7 +75,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_line_dedup": op2_line_dedup,
     "op3_mixing": op3_mixing,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_simhash": op5_simhash,
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,

@@ -37,3 +37,47 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, CAST(count(*) OVER g AS BIGINT) AS
   doc_id = min(doc_id) OVER g AS kept, text_sha256
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
+
+ORACLE["op2_line_dedup"] = r"""
+WITH raw AS (
+  SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i
+  FROM documents
+), n AS (SELECT doc_id, i, line, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm FROM raw),
+f AS (SELECT doc_id, i, norm, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS p FROM n WHERE norm <> ''),
+w AS (
+  SELECT doc_id, p, norm || chr(10) || lead(norm, 1) OVER d || chr(10) || lead(norm, 2) OVER d AS gram
+  FROM f WINDOW d AS (PARTITION BY doc_id ORDER BY p)
+), r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY gram ORDER BY doc_id, p) AS k FROM w WHERE gram IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, p + o AS p FROM r, (SELECT unnest([0, 1, 2]) AS o) WHERE k > 1),
+x AS (SELECT f.doc_id, f.i FROM f JOIN g USING (doc_id, p)),
+c AS (
+  SELECT n.doc_id, string_agg(n.line, chr(10) ORDER BY n.i) FILTER (x.i IS NULL) AS clean, count(*) FILTER (n.norm <> '') AS n_lines,
+    count(x.i) AS n_deleted, string_agg(CAST(x.i AS VARCHAR), ',' ORDER BY x.i) AS deleted_lines
+  FROM n LEFT JOIN x ON n.doc_id = x.doc_id AND n.i = x.i GROUP BY n.doc_id
+)
+SELECT d.doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_deleted AS BIGINT) AS n_deleted, coalesce(deleted_lines, '') AS deleted_lines,
+  CASE WHEN d.text IS NULL THEN NULL ELSE sha256(coalesce(clean, '')) END AS clean_sha256
+FROM documents d JOIN c USING (doc_id)
+"""
+
+ORACLE["op4_substring_dedup"] = r"""
+WITH raw AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i,
+    len(string_split(text, chr(10))) AS lines FROM documents WHERE text IS NOT NULL
+), o AS (
+  SELECT doc_id, i, line || CASE WHEN i < lines - 1 THEN chr(10) ELSE '' END AS unit,
+    coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM raw
+), n AS (
+  SELECT *, trim(regexp_replace(lower(unit), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm FROM o
+), k AS (
+  SELECT *, CASE WHEN len(string_split(norm, ' ')) >= 3 THEN row_number() OVER (PARTITION BY norm ORDER BY doc_id, a) ELSE 1 END AS k,
+    first_value(doc_id) OVER (PARTITION BY norm ORDER BY doc_id, a) AS keeper FROM n
+), c AS (
+  SELECT doc_id, count(*) FILTER (k > 1) AS n_removed,
+    string_agg(CAST(CAST(a AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(a AS BIGINT) + length(unit) AS VARCHAR), ',' ORDER BY a) FILTER (k > 1) AS removed,
+    string_agg(unit, '' ORDER BY a, i) FILTER (k = 1) AS clean, list_sort(list_distinct(list(keeper) FILTER (k > 1))) AS kept FROM k GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(removed, '') AS removed,
+  coalesce(array_to_string(kept, ','), '') AS kept_in, CASE WHEN d.text IS NULL THEN NULL ELSE sha256(coalesce(clean, '')) END AS clean_sha256
+FROM documents d LEFT JOIN c USING (doc_id)
+"""
