@@ -16,13 +16,32 @@ def nan_to_null(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def id_string(c: Column) -> Column:
-    """13085, 13085.0 and "13085.0" all become "13085"; a direct string to bigint cast raises under ANSI."""
-    return c.cast("double").cast("bigint").cast("string")
+def id_string(c: Column, kind: str = "string") -> Column:
+    """13085, 13085.0 and "13085.0" all become "13085"; `kind` is the column's type. Only doubles pass through double."""
+    if kind in ("double", "float"):
+        return c.cast("bigint").cast("string")
+    if kind == "string" or kind.startswith("decimal"):
+        return F.substring_index(c.cast("decimal(38,10)").cast("string"), ".", 1)
+    return c.cast("string")
 
 
 def half_even(c: Column, digits: int) -> Column:
-    return F.bround(c, digits)
+    """Rounds the binary value, as Python's round does: what lies above or below the middle is decided exactly.
+
+    x * 10^digits is split into its rounded product and the product's error, so a value that only looks like a tie
+    is told from a true one; true ties go to the even neighbour.
+    """
+    scale = float(10**digits)
+    x = F.abs(c.cast("double"))
+    product = x * scale
+    big = x * 134217729.0
+    high = big - (big - x)
+    error = (high * scale - product) + (x - high) * scale
+    whole = F.floor(product).cast("double")
+    above = (product - whole) - 0.5
+    up = (above > 0) | ((above == 0) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    rounded = F.signum(c.cast("double")) * (whole + up.cast("double")) / scale
+    return F.when(x < 4503599627370496.0 / scale, rounded).otherwise(c.cast("double"))
 
 
 def safe_ratio(num: Column, den: Column, default: float = 0.0) -> Column:

@@ -64,10 +64,12 @@ def recommended_action(persona_col: Column, tier: Column) -> Column:
 
 
 def churn_prediction(p: Column) -> Column:
-    return (p >= DECISION_FROM).cast("int")
+    """1 from a probability of 0.5 on; a missing one (null or NaN) is 0."""
+    return F.coalesce(nan_to_null(p.cast("double")) >= DECISION_FROM, F.lit(False)).cast("int")
 
 
 def confidence(p: Column) -> Column:
+    p = nan_to_null(p.cast("double"))
     return F.when(p >= DECISION_FROM, p).otherwise(1 - p)
 
 

@@ -2,16 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from stayflow.functions.columns import q
 
 ROWS_PER_FIT_PARTITION = 50_000
 
 
-def iteration_ready(df: DataFrame) -> DataFrame:
-    """A persisted table in as many partitions as its size needs.
+@contextmanager
+def iteration_ready(df: DataFrame, key: str | None = None) -> Iterator[DataFrame]:
+    """A persisted table for the many short jobs of a fit, released at the end.
 
-    Iterative fits run dozens of short jobs over it, and task overhead dominates when each task has few rows.
-    Only ever merges partitions: a large table keeps the parallelism it has.
+    Given a unique key, rows are dealt by its hash, so that fits that sample by partition (MLlib's trees) see the same
+    rows together in whatever files they come; what still depends on the partition count, one per
+    ROWS_PER_FIT_PARTITION rows, is how each partition is sampled. Without a key partitions are only merged.
     """
     kept = df.persist()
-    return kept.coalesce(max(1, -(-kept.count() // ROWS_PER_FIT_PARTITION)))
+    parts = max(1, -(-kept.count() // ROWS_PER_FIT_PARTITION))
+    if key is None:
+        ready = kept.coalesce(parts)
+    else:
+        kept.unpersist()
+        ready = kept = df.repartition(parts, F.xxhash64(q(key))).persist()
+    try:
+        yield ready
+    finally:
+        kept.unpersist()

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from stayflow.functions.columns import half_even, q
 from stayflow.functions.rules import impact, risk_tier
 from stayflow.operators.distances import as_double_array
-from stayflow.session import shared_path
+from stayflow.session import removed, shared_path
 
 ROW_CHUNK, LEAF_CHUNK = 256, 512
 
@@ -43,7 +43,10 @@ def ensemble_leaves(model: Model) -> dict[int, dict[str, np.ndarray]]:
     spark = SparkSession.active()
     path = shared_path(spark, "trees")
     model.write().overwrite().save(path)
-    rows = spark.read.parquet(f"{path}/data").collect()
+    try:
+        rows = spark.read.parquet(f"{path}/data").collect()
+    finally:
+        removed(spark, path)
     boosted = isinstance(model, GBTClassificationModel)
     scale = list(model.treeWeights) if boosted else [1.0 / model.getNumTrees] * model.getNumTrees
     trees: dict[int, dict[int, Any]] = {}
@@ -114,9 +117,14 @@ def tree_values(x: np.ndarray, leaves: dict[int, dict[str, np.ndarray]]) -> np.n
     return phi
 
 
-def tree_attributions(df: DataFrame, model: Model, features_col: str = "features", out_col: str = "attribution") -> DataFrame:
-    """Adds an array of Shapley values, in feature order. A forest explains the probability, boosting the margin."""
-    leaves = ensemble_leaves(model)
+def tree_attributions(
+    df: DataFrame, model: Model, features_col: str = "features", out_col: str = "attribution", leaves: dict | None = None
+) -> DataFrame:
+    """Adds an array of Shapley values, in feature order. A forest explains the probability, boosting the margin.
+
+    `leaves` are those of `ensemble_leaves`, if the caller has them already.
+    """
+    leaves = ensemble_leaves(model) if leaves is None else leaves
     shared = df.sparkSession.sparkContext.broadcast(leaves)  # bounded by the model, not by the rows
     rows = as_double_array(df, features_col)
     schema = T.StructType([*rows.schema.fields, T.StructField(out_col, T.ArrayType(T.DoubleType()))])

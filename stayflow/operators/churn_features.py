@@ -76,10 +76,14 @@ class ChurnFeatureEngineer(Estimator, _State, DefaultParamsReadable, DefaultPara
         require_columns(df, NUMERICAL_COLS + CATEGORICAL_COLS, "profiles")
         raw = exact_medians(df, NUMERICAL_COLS)
         derived = exact_medians(with_derived(df, raw), DERIVED_COLS)
-        found = df.agg(*[F.sort_array(F.collect_set(q(c))).alias(c) for c in CATEGORICAL_COLS]).first()
+        pairs = F.array(*[F.struct(F.lit(c).alias("c"), q(c).alias("v")) for c in CATEGORICAL_COLS])
+        found: dict[str, list[str]] = {c: [] for c in CATEGORICAL_COLS}
+        # as many rows as the model has category columns
+        for r in df.select(F.explode(pairs).alias("p")).select("p.*").where(F.col("v").isNotNull()).distinct().orderBy("c", "v").collect():
+            found[r["c"]].append(r["v"])
         state = {
             "medians": {**raw, **derived},
-            "categories": {c: list(found[c]) for c in CATEGORICAL_COLS},
+            "categories": found,
         }
         args = {"scaleFeatures": self.getOrDefault(self.scaleFeatures), "medianScope": self.getOrDefault(self.medianScope)}
         model = ChurnFeatureModel(state=json.dumps(state), **args)

@@ -34,7 +34,7 @@ def clean_retail_data(df: DataFrame, customer_col: str = "Customer ID", lenient_
     parse = F.try_to_timestamp if lenient_dates else F.to_timestamp
     return (
         valid_sales(df, customer_col)
-        .withColumn(customer_col, id_string(q(customer_col)))
+        .withColumn(customer_col, id_string(q(customer_col), dict(df.dtypes)[customer_col]))
         .withColumn("InvoiceDate", parse(F.col("InvoiceDate")))
         .withColumn("TotalAmount", F.col("Quantity") * F.col("Price"))
     )
@@ -60,7 +60,7 @@ def retail_retention(df: DataFrame, customer_col: str = "Customer ID") -> DataFr
 def clean_churn_data(df: DataFrame) -> DataFrame:
     """Text id, integer target, unified category spellings; other values and nulls stay."""
     require_columns(df, [ID_COL, TARGET_COL, *RECODES], "churn data")
-    out = df.withColumn(ID_COL, id_string(F.col(ID_COL))).withColumn(TARGET_COL, F.col(TARGET_COL).cast("int"))
+    out = df.withColumn(ID_COL, id_string(F.col(ID_COL), dict(df.dtypes)[ID_COL])).withColumn(TARGET_COL, F.col(TARGET_COL).cast("int"))
     for name, mapping in RECODES.items():
         out = out.replace(mapping, subset=[name])
     return out

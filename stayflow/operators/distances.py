@@ -7,8 +7,8 @@ Copies of one point are collapsed first and a large cell is cut into chunks, so
 group. Tasks emit k rows per point, never pairs.
 
 Silhouette. The mean distance to every cluster has no closed form under the plain Euclidean metric; its cost is
-quadratic by definition. Tasks work on pairs of blocks of fixed size and emit one row of sums per point. Above a
-row limit model selection uses the squared metric instead, which is linear and also covers every row.
+quadratic by definition. Tasks work on pairs of blocks of fixed size and emit one row of sums per point. The squared
+metric, another quantity, is linear. The caller names the metric; the number of rows never decides it.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ from stayflow.functions.columns import q, squared_distance
 BLOCK_ROWS = 2048
 CELL_ROWS = 1024
 MAX_PIVOTS = 4096
-EXACT_SILHOUETTE_ROWS = 20_000
 
 
 def as_double_array(df: DataFrame, col: str) -> DataFrame:
@@ -247,21 +246,18 @@ def _pair_sums(widths: list[int]):
 
 
 def silhouette_samples(
-    df: DataFrame, label_cols: list[str], id_col: str = "id", features_col: str = "features", mode: str = "auto",
+    df: DataFrame, label_cols: list[str], id_col: str = "id", features_col: str = "features", metric: str = "squared",
     n_rows: int | None = None,
 ) -> DataFrame:
     """Silhouette per row and labelling (columns `silhouette_<label>`); labels are 0..K-1.
 
-    `euclidean` is quadratic, `squared` linear; `auto` takes the first up to EXACT_SILHOUETTE_ROWS rows.
+    The work for `euclidean` is quadratic in the rows, for `squared` linear.
     """
-    n = df.count() if n_rows is None else n_rows
-    if _metric(mode, n) == "squared":
+    if metric == "squared":
         return _squared_samples(df, label_cols, id_col, features_col)
-    return _euclidean_samples(df, label_cols, id_col, features_col, n)
-
-
-def _metric(mode: str, n: int) -> str:
-    return mode if mode != "auto" else ("euclidean" if n <= EXACT_SILHOUETTE_ROWS else "squared")
+    if metric != "euclidean":
+        raise ValueError(f"unknown metric {metric}")
+    return _euclidean_samples(df, label_cols, id_col, features_col, df.count() if n_rows is None else n_rows)
 
 
 def _squared_samples(df: DataFrame, label_cols: list[str], id_col: str, features_col: str) -> DataFrame:
@@ -348,24 +344,18 @@ def _silhouette_value(sum_cols: list[str], sizes: list[int], label):
 
 
 def silhouette_scores(
-    df: DataFrame, label_cols: list[str], id_col: str = "id", features_col: str = "features", mode: str = "auto"
-) -> tuple[dict[str, float | None], str]:
-    """Mean silhouette per labelling and the metric used.
-
-    `euclidean` is exact and quadratic, `squared` is exact for the squared metric and linear; `auto` takes the
-    first up to EXACT_SILHOUETTE_ROWS rows. Either way every row counts. One populated cluster gives None.
-    """
-    n = df.count()
-    metric = _metric(mode, n)
+    df: DataFrame, label_cols: list[str], id_col: str = "id", features_col: str = "features", metric: str = "squared"
+) -> dict[str, float | None]:
+    """Mean silhouette of all rows per labelling. One populated cluster gives None."""
     sizes = cluster_sizes(df, label_cols)
     usable = [c for c in label_cols if sum(s > 0 for s in sizes[c]) > 1]
     out: dict[str, float | None] = {c: None for c in label_cols}
     if usable:
-        row = silhouette_samples(df, usable, id_col, features_col, metric, n).agg(
+        row = silhouette_samples(df, usable, id_col, features_col, metric).agg(
             *[F.avg(f"silhouette_{c}").alias(c) for c in usable]
         ).first()
         out.update({c: row[c] for c in usable})
-    return out, metric
+    return out
 
 
 # ---------------------------------------------------------------- Davies-Bouldin, inertia

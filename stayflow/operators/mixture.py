@@ -1,38 +1,33 @@
 """Gaussian mixtures with full, tied, diagonal and spherical covariances.
 
-MLlib fits the full case. The others use expectation-maximisation with one aggregate per iteration: tasks turn
-their rows into sums of r, r.x and r.x.x' (numpy, Arrow batches), Spark adds them up, and k.d.d numbers return to
-the driver. Parameters travel inside the task closure, so no iteration compiles new code.
+Expectation-maximisation with one scan per iteration for all fits of a search: tasks turn their rows into sums of r,
+r.x and r.x.x' (numpy, Arrow batches), Spark adds them up, and k.d.d numbers a fit return to the driver. Parameters
+travel inside the task closure, so no iteration compiles new code.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stayflow.functions.columns import q
 from stayflow.functions.sizing import iteration_ready
 from stayflow.operators.distances import as_double_array, silhouette_scores
-from stayflow.operators.segmentation import COVARIANCE_TYPES, run_parallel
+from stayflow.operators.passes import labelling_scores, squared_gaps, summed, vectors
+from stayflow.operators.segmentation import COVARIANCE_TYPES, kmeans_fits
 
 RIDGE = 1e-6  # added to every variance
-GMM_METRICS = T.StructType([
-    T.StructField("k", T.IntegerType()), T.StructField("covariance_type", T.StringType()),
-    T.StructField("bic", T.DoubleType()), T.StructField("aic", T.DoubleType()), T.StructField("silhouette", T.DoubleType()),
-])
+GMM_METRICS = "k int, covariance_type string, bic double, aic double, silhouette double, silhouette_metric string"
 
 
 def free_parameters(k: int, d: int, covariance_type: str) -> int:
@@ -71,25 +66,6 @@ def _sums(x: np.ndarray, r: np.ndarray, log_lik: float) -> np.ndarray:
     return np.concatenate([[log_lik], r.sum(axis=0), (r.T @ x).ravel(), np.einsum("nk,ni,nj->kij", r, x, x).ravel()])
 
 
-def _collect_sums(df: DataFrame, work) -> np.ndarray:
-    """Runs `work(batch) -> flat vector` per partition and adds the vectors up on the executors."""
-
-    def per_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
-        for batch in batches:
-            if len(batch):
-                part = work(batch)
-                total = part if total is None else total + part
-        if total is not None:
-            yield pd.DataFrame({"slot": np.arange(len(total), dtype="int32"), "value": total})
-
-    rows = df.mapInPandas(per_partition, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).collect()
-    out = np.zeros(len(rows))
-    for r in rows:
-        out[r["slot"]] = r["value"]
-    return out
-
-
 def _estimate(flat: np.ndarray, n: int, k: int, d: int, covariance_type: str):
     """New weights, means and covariances from the summed statistics."""
     nk = np.maximum(flat[1:1 + k], 10 * np.finfo(float).eps)
@@ -127,39 +103,67 @@ class GaussianMixtureEM(Estimator, DefaultParamsReadable, DefaultParamsWritable)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "GaussianMixtureModelEM":
-        k, kind, col = self.getOrDefault(self.k), self.getOrDefault(self.covarianceType), self.getOrDefault(self.featuresCol)
-        start = KMeans(k=k, seed=self.getOrDefault(self.seed), featuresCol=col, predictionCol="_start", maxIter=50).fit(df)
-        labelled = as_double_array(start.transform(df.select(q(col))), col).select(q(col).alias("x"), "_start")
-        d = len(start.clusterCenters()[0])
-
-        def hard(batch: pd.DataFrame) -> np.ndarray:
-            x = np.stack(batch["x"].to_numpy())
-            return _sums(x, np.eye(k)[batch["_start"].to_numpy()], 0.0)
-
-        flat = _collect_sums(labelled, hard)
-        n = int(round(flat[1:1 + k].sum()))
-        weights, means, covs = _estimate(flat, n, k, d, kind)
-        rows = as_double_array(df.select(q(col)), col).select(q(col).alias("x"))
-        previous, mean_ll, used = -np.inf, -np.inf, 0
-        for used in range(1, self.getOrDefault(self.maxIter) + 1):
-            def soft(batch: pd.DataFrame, w=weights, m=means, c=covs) -> np.ndarray:
-                x = np.stack(batch["x"].to_numpy())
-                r, ll = responsibilities(log_joint(x, w, m, c))
-                return _sums(x, r, ll.sum())
-
-            flat = _collect_sums(rows, soft)
-            mean_ll = flat[0] / n  # belongs to the parameters the pass ran with
-            if mean_ll - previous < self.getOrDefault(self.tol):
-                break
-            previous = mean_ll
-            weights, means, covs = _estimate(flat, n, k, d, kind)
-        state = {
-            "covariance_type": kind, "weights": weights.tolist(), "means": means.tolist(), "covs": covs.tolist(),
-            "log_likelihood": float(mean_ll * n), "n": n, "iterations": used,
-        }
+        task = (self.getOrDefault(self.covarianceType), self.getOrDefault(self.k), self.getOrDefault(self.seed))
+        col = self.getOrDefault(self.featuresCol)
+        with iteration_ready(vectors(df, col)) as rows:
+            state = em_fits(rows, [task], self.getOrDefault(self.maxIter), self.getOrDefault(self.tol))[task]
         return GaussianMixtureModelEM(state=json.dumps(state), featuresCol=col)
 
 
+Task = tuple[str, int, int]
+
+
+def em_fits(rows: DataFrame, tasks: list[Task], max_iter: int = 100, tol: float = 1e-3) -> dict[Task, dict]:
+    """Fitted state of each (covariance type, k, seed). `rows` has one array column `x`.
+
+    The types of one (k, seed) share a K-Means start. One scan an iteration adds up the sums of all fits that still gain.
+    """
+    tasks = list(dict.fromkeys(tasks))
+    starts = {t: c for t, (c, _) in kmeans_fits(rows, sorted({(k, seed) for _, k, seed in tasks})).items()}
+    keys, d = list(starts), len(next(iter(starts.values()))[0])
+
+    def hard(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([_sums(x, np.eye(len(starts[t]))[squared_gaps(x, starts[t]).argmin(axis=1)], 0.0) for t in keys])
+
+    first = dict(zip(keys, _cut(summed(rows, hard), [k for k, _ in keys], d)))
+    n = int(round(first[keys[0]][1:1 + keys[0][0]].sum()))
+    params = {t: _estimate(first[t[1:]], n, t[1], d, t[0]) for t in tasks}
+    mean_ll, used, live = dict.fromkeys(tasks, -np.inf), dict.fromkeys(tasks, 0), tasks
+    for step in range(1, max_iter + 1):
+        now = [params[t] for t in live]
+
+        def soft(x: np.ndarray, now=now) -> np.ndarray:
+            out = []
+            for p in now:
+                r, ll = responsibilities(log_joint(x, *p))
+                out.append(_sums(x, r, ll.sum()))
+            return np.concatenate(out)
+
+        going = []
+        for t, flat in zip(live, _cut(summed(rows, soft), [t[1] for t in live], d)):
+            # the likelihood belongs to the parameters the scan ran with
+            gain, mean_ll[t], used[t] = flat[0] / n - mean_ll[t], flat[0] / n, step
+            if gain >= tol and step < max_iter:
+                params[t] = _estimate(flat, n, t[1], d, t[0])
+                going.append(t)
+        live = going
+        if not live:
+            break
+    return {
+        t: {
+            "covariance_type": t[0], "weights": params[t][0].tolist(), "means": params[t][1].tolist(), "covs": params[t][2].tolist(),
+            "log_likelihood": float(mean_ll[t] * n), "n": n, "iterations": used[t],
+        }
+        for t in tasks
+    }
+
+
+def _cut(flat: np.ndarray, ks: list[int], d: int) -> list[np.ndarray]:
+    """One flat vector of `_sums` per number of components."""
+    ends = np.cumsum([1 + k + k * d + k * d * d for k in ks])
+    return np.split(flat, ends[:-1])
+
+
 class GaussianMixtureModelEM(Model, DefaultParamsReadable, DefaultParamsWritable):
     """Adds `probability` (array, sums to 1) and the hard label `Cluster_ID`."""
 
@@ -199,24 +203,16 @@ class GaussianMixtureModelEM(Model, DefaultParamsReadable, DefaultParamsWritable
 def fit_gmm(
     df: DataFrame, k: int, covariance_type: str = "full", random_state: int = 42, restarts: int = 5,
     features_col: str = "features",
-) -> tuple[Model, float]:
-    """Best of several starts by log likelihood, with that likelihood. `df` should come from `iteration_ready`."""
-
-    def fit(seed: int) -> tuple[Model, float]:
-        if covariance_type == "full":
-            model = GaussianMixture(
-                k=k, seed=seed, featuresCol=features_col, predictionCol="Cluster_ID", tol=1e-3, maxIter=100
-            ).fit(df)
-            return model, model.summary.logLikelihood
-        model = GaussianMixtureEM(k=k, covarianceType=covariance_type, featuresCol=features_col, seed=seed).fit(df)
-        return model, model.log_likelihood
-
-    fits = run_parallel([random_state + i for i in range(restarts)], fit)
-    return max(fits, key=lambda f: f[1])
+) -> tuple[GaussianMixtureModelEM, float]:
+    """Best of several starts by log likelihood, with that likelihood; all starts share their scans."""
+    with iteration_ready(vectors(df, features_col)) as rows:
+        fits = em_fits(rows, [(covariance_type, k, random_state + i) for i in range(restarts)])
+    best = max(fits.values(), key=lambda f: f["log_likelihood"])
+    return GaussianMixtureModelEM(state=json.dumps(best), featuresCol=features_col), best["log_likelihood"]
 
 
 def soft_labels(model: Model, df: DataFrame) -> DataFrame:
-    """Hard label and `probability` as array<double>, whichever implementation fitted the model."""
+    """Hard label and `probability` as array<double>."""
     return as_double_array(model.transform(df), "probability")
 
 
@@ -228,34 +224,27 @@ def evaluate_gmm_grid(
     restarts: int = 5,
     id_col: str = "Customer ID",
     features_col: str = "features",
-    silhouette_mode: str = "auto",
+    silhouette_metric: str = "squared",
 ) -> DataFrame:
     """BIC, AIC and silhouette of the hard labels per (k, covariance type); fits that collapse to one cluster are left out."""
-    ready = iteration_ready(df)
-    n = df.count()
-    d = len(as_double_array(df.select(q(features_col)), features_col).first()[0])
     grid = [(c, k) for c in covariance_types for k in k_range]
-
-    def fit(task: tuple[str, int]):
-        return fit_gmm(ready, task[1], task[0], random_state, restarts, features_col)
-
-    fits = run_parallel(grid, fit)
-    base = df.select(q(id_col), q(features_col))
-    for i, (model, _) in enumerate(fits):
-        # each fit adds one label column to the same rows, so no join is needed to line the labels up
-        vectors = base.withColumn(features_col, array_to_vector(q(features_col))) if i else base
-        base = as_double_array(
-            soft_labels(model, vectors).withColumnRenamed("Cluster_ID", f"g{i}").drop("probability"), features_col
-        )
-    base = base.persist()
-    try:
-        scores, _ = silhouette_scores(base, [f"g{i}" for i in range(len(fits))], id_col, features_col, silhouette_mode)
-    finally:
-        base.unpersist()
+    with iteration_ready(vectors(df, features_col)) as rows:
+        fits = em_fits(rows, [(c, k, random_state + i) for c, k in grid for i in range(restarts)])
+        best = [max((f for (c, k, _), f in fits.items() if (c, k) == g), key=lambda f: f["log_likelihood"]) for g in grid]
+        params = [tuple(np.array(f[name]) for name in ("weights", "means", "covs")) for f in best]
+        scores = [s for _, s in labelling_scores(rows, lambda x: [log_joint(x, *p).argmax(axis=1) for p in params], [k for _, k in grid])]
+    d = len(best[0]["means"][0])
+    if silhouette_metric != "squared":
+        base = df.select(q(id_col), q(features_col))
+        for i, f in enumerate(best):
+            # each fit adds one label column to the same rows, so no join is needed to line the labels up
+            model = GaussianMixtureModelEM(state=json.dumps(f), featuresCol=features_col)
+            base = soft_labels(model, base).withColumnRenamed("Cluster_ID", f"g{i}").drop("probability")
+        exact = silhouette_scores(base, [f"g{i}" for i in range(len(best))], id_col, features_col, silhouette_metric)
+        scores = [exact[f"g{i}"] for i in range(len(best))]
     records = []
-    for i, ((kind, k), (_, ll)) in enumerate(zip(grid, fits)):
-        if scores[f"g{i}"] is None:
-            continue
-        bic, aic = information_criteria(ll, n, k, d, kind)
-        records.append((k, kind, bic, aic, scores[f"g{i}"]))
+    for (kind, k), f, score in zip(grid, best, scores):
+        if score is not None:
+            bic, aic = information_criteria(f["log_likelihood"], f["n"], k, d, kind)
+            records.append((k, kind, bic, aic, score, silhouette_metric))
     return df.sparkSession.createDataFrame(records, GMM_METRICS)

@@ -1,64 +1,46 @@
-"""Exact interpolated quantiles whose memory does not grow with the data.
+"""Exact interpolated quantiles by grouped counts, one plan for every size.
 
-`percentile` keeps every distinct value of a column in one task. That is fine while the number of distinct
-values is small, so it is checked first. Beyond the limit the searched ranks are closed in by passes of
-per-bin counts (a few thousand rows each, combined on the map side) until each rank's bin is one value or
-small enough for one sorted read.
+Values of all columns are counted together, (column, value) pairs combined before the shuffle. Approximate cut points
+split each column's distinct values into buckets; bucket totals (a bounded table) tell which bucket holds a
+rank, and a running count inside those buckets finds the value. No task ever holds all values of a column.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayflow.functions.columns import nan_to_null, q
 
-DISTINCT_LIMIT = 200_000
-BINS = 1024
+ROWS_PER_BUCKET = 100_000
+MAX_BUCKETS = 1024
 
 
-def exact_quantiles(
-    df: DataFrame, cols: list[str], probs: list[float], distinct_limit: int = DISTINCT_LIMIT
-) -> dict[str, list[float | None]]:
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], rows_per_bucket: int = ROWS_PER_BUCKET) -> dict[str, list[float | None]]:
     """Linear-interpolation quantiles per column; nulls and NaN are ignored, an empty column gives None."""
-    clean = {c: nan_to_null(q(c).cast("double")) for c in cols}
-    sizes = df.agg(
-        *[F.approx_count_distinct(v).alias(f"d{i}") for i, v in enumerate(clean.values())],
-        *[F.count(v).alias(f"n{i}") for i, v in enumerate(clean.values())],
-        *[F.min(v).alias(f"lo{i}") for i, v in enumerate(clean.values())],
-        *[F.max(v).alias(f"hi{i}") for i, v in enumerate(clean.values())],
-    ).first()
+    if not cols:
+        return {}
+    pairs = F.array(*[F.struct(F.lit(i).alias("c"), nan_to_null(q(c).cast("double")).alias("v")) for i, c in enumerate(cols)])
+    counts = (
+        df.select(F.explode(pairs).alias("p")).select("p.c", "p.v").where(F.col("v").isNotNull())
+        .groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).persist()
+    )
+    try:
+        sizes = {r["c"]: r for r in counts.groupBy("c").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("values")).collect()}
+        wanted = {i: sorted({r for p in probs for r in _ranks(p, sizes[i]["n"])}) for i in sizes}
+        at = _values_at(counts, wanted, max((s["values"] for s in sizes.values()), default=0), rows_per_bucket)
+    finally:
+        counts.unpersist()
     out: dict[str, list[float | None]] = {}
-    direct = [(i, c) for i, c in enumerate(cols) if sizes[f"d{i}"] <= distinct_limit]
-    if direct:
-        row = df.agg(
-            *[F.percentile(clean[c], F.array(*[F.lit(p) for p in probs])).alias(f"q{i}") for i, c in direct]
-        ).first()
-        for i, c in direct:
-            out[c] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
     for i, c in enumerate(cols):
-        if c not in out:
-            out[c] = _by_narrowing(df, clean[c], sizes[f"n{i}"], sizes[f"lo{i}"], sizes[f"hi{i}"], probs, distinct_limit)
+        out[c] = [_between(at[i], p, sizes[i]["n"]) if i in sizes else None for p in probs]
     return out
 
 
-def exact_medians(df: DataFrame, cols: list[str], distinct_limit: int = DISTINCT_LIMIT) -> dict[str, float | None]:
-    return {c: v[0] for c, v in exact_quantiles(df, cols, [0.5], distinct_limit).items()}
-
-
-def _by_narrowing(
-    df: DataFrame, value: Column, n: int, lo: float, hi: float, probs: list[float], distinct_limit: int
-) -> list[float | None]:
-    wanted = sorted({r for p in probs for r in _ranks(p, n)})
-    at = {r: _value_at_rank(df, value, r, lo, hi, distinct_limit) for r in wanted}
-    result = []
-    for p in probs:
-        low, high = _ranks(p, n)
-        frac = p * (n - 1) - low
-        result.append(at[low] + (at[high] - at[low]) * frac)
-    return result
+def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
+    return {c: v[0] for c, v in exact_quantiles(df, cols, [0.5]).items()}
 
 
 def _ranks(p: float, n: int) -> tuple[int, int]:
@@ -66,28 +48,38 @@ def _ranks(p: float, n: int) -> tuple[int, int]:
     return math.floor(pos), min(math.ceil(pos), n - 1)
 
 
-def _value_at_rank(df: DataFrame, value: Column, rank: int, lo: float, hi: float, small: int) -> float:
-    """Value at a 0-based rank: each pass keeps the bin that holds the rank, shrunk to the values in it."""
-    while lo < hi:
-        width = hi / BINS - lo / BINS
-        # equal-width bins; bounds that are neighbouring doubles leave no width, then each value is its own bin
-        bin_col = F.least(F.floor((value - lo) / width), F.lit(BINS - 1)) if width > 0 else (value > lo).cast("bigint")
-        bins = (
-            df.filter((value >= lo) & (value <= hi))
-            .groupBy(bin_col.alias("b"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"),
-                 F.approx_count_distinct(value).alias("d"))
-            .orderBy("b")
-            .collect()
-        )
-        for b in bins:
-            if rank < b["n"]:
-                break
-            rank -= b["n"]
-        lo, hi = b["lo"], b["hi"]
-        if lo < hi and b["d"] <= small:
-            counts = df.filter((value >= lo) & (value <= hi)).select(
-                F.percentile(value, F.lit(rank / (b["n"] - 1) if b["n"] > 1 else 0.0)).alias("v")
-            )
-            return counts.first()["v"]
-    return lo
+def _between(at: dict[int, float], p: float, n: int) -> float:
+    low, high = _ranks(p, n)
+    if at[low] == at[high]:
+        return at[low]
+    return at[low] + (at[high] - at[low]) * (p * (n - 1) - low)
+
+
+def _values_at(counts: DataFrame, wanted: dict[int, list[int]], values: int, rows_per_bucket: int) -> dict[int, dict[int, float]]:
+    """Value at each wanted 0-based rank of each column."""
+    buckets = max(1, min(MAX_BUCKETS, -(-values // rows_per_bucket)))
+    placed = counts.withColumn("b", F.lit(0))
+    if buckets > 1:
+        steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+        cuts = counts.groupBy("c").agg(F.array_distinct(F.percentile_approx("v", steps, 10 * buckets)).alias("cuts"))
+        cuts = {r["c"]: r["cuts"] for r in cuts.collect()}  # at most MAX_BUCKETS numbers a column
+        table = counts.sparkSession.createDataFrame(list(cuts.items()), "c int, cuts array<double>")
+        placed = counts.join(F.broadcast(table), "c").withColumn("b", F.size(F.filter("cuts", lambda x: x < F.col("v"))))
+    totals: dict[int, list[tuple[int, int]]] = {}
+    for r in placed.groupBy("c", "b").agg(F.sum("n").alias("n")).orderBy("c", "b").collect():
+        totals.setdefault(r["c"], []).append((r["b"], r["n"]))
+    targets = []
+    for c, ranks in wanted.items():
+        before, todo = 0, list(ranks)
+        for b, n in totals[c]:
+            while todo and todo[0] < before + n:
+                targets.append((c, b, todo[0], todo.pop(0) - before))
+            before += n
+    wanted_rows = counts.sparkSession.createDataFrame(targets, "c int, b int, rank long, inside long")
+    order = Window.partitionBy("c", "b").orderBy("v")
+    inside = placed.join(F.broadcast(wanted_rows.select("c", "b").distinct()), ["c", "b"], "left_semi").withColumn("upto", F.sum("n").over(order))
+    found = inside.join(F.broadcast(wanted_rows), ["c", "b"]).where((F.col("inside") < F.col("upto")) & (F.col("inside") >= F.col("upto") - F.col("n")))
+    out: dict[int, dict[int, float]] = {c: {} for c in wanted}
+    for r in found.select("c", "rank", "v").collect():  # one row a rank
+        out[r["c"]][r["rank"]] = r["v"]
+    return out

@@ -40,10 +40,18 @@ def score_rows(scored: DataFrame, model_version: str, probability_col: str = "p"
     return scored.select(q(id_col).cast("string").alias("customer_id"), *prediction_columns(q(probability_col), model_version))
 
 
-def predict_churn_batch(model: PipelineModel, df: DataFrame, model_version: str, defaults: bool = True) -> DataFrame:
-    """Scores a table (or stream) of profiles with a saved pipeline; no Python per row."""
+def predict_churn_batch(
+    model: PipelineModel, df: DataFrame, model_version: str, defaults: bool = True, seq_col: str | None = None
+) -> DataFrame:
+    """Scores a table (or stream) of profiles with a saved pipeline; no Python per row.
+
+    With `seq_col`, the caller's 1-based positions, rows without an id are BATCH_0001 and so on; without, as single
+    records, they are N/A.
+    """
     rows = apply_defaults(df) if defaults else df
-    if "customer_id" not in rows.columns:
+    if seq_col is not None:
+        rows = batch_ids(rows, seq_col)
+    elif "customer_id" not in rows.columns:
         given = F.col(ID_COL).cast("string") if ID_COL in rows.columns else F.lit(None).cast("string")
         rows = rows.withColumn("customer_id", F.coalesce(given, F.lit("N/A")))
     return score_rows(model.transform(rows).withColumn("_p", positive_probability()), model_version, "_p")
@@ -51,7 +59,7 @@ def predict_churn_batch(model: PipelineModel, df: DataFrame, model_version: str,
 
 def find_customers(df: DataFrame, wanted: DataFrame, id_col: str = "customer_id") -> DataFrame:
     """Rows of the requested ids, compared as text."""
-    ids = wanted.select(q(id_col).cast("string").alias("_w")).distinct()
+    ids = wanted.select(q(id_col).cast("string").alias("_w"))
     return df.join(ids, q(id_col).cast("string") == F.col("_w"), "left_semi")
 
 

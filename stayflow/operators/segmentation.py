@@ -2,49 +2,120 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark import keyword_only
+from pyspark.ml import Model
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stayflow.functions.columns import half_even, nan_to_null, q
+from stayflow.functions.columns import half_even, nan_to_null, q, squared_distance
 from stayflow.functions.rules import persona
 from stayflow.functions.sizing import iteration_ready
-from stayflow.operators.distances import davies_bouldin, silhouette_scores
+from stayflow.operators.distances import silhouette_scores
+from stayflow.operators.passes import labelling_scores, squared_gaps, summed, vectors
 
-PARALLEL_FITS = 8
 # Fixed order: ties between covariance types go to the earlier one.
 COVARIANCE_TYPES = ("full", "tied", "diag", "spherical")
 
-KMEANS_METRICS = T.StructType([
-    T.StructField("k", T.IntegerType()), T.StructField("inertia", T.DoubleType()),
-    T.StructField("silhouette", T.DoubleType()), T.StructField("davies_bouldin", T.DoubleType()),
-])
-
-
-def run_parallel(tasks: list, fn) -> list:
-    """Overlaps independent fits: small jobs leave executors idle when they run one by one."""
-    if len(tasks) <= 1:
-        return [fn(t) for t in tasks]
-    with ThreadPool(min(PARALLEL_FITS, len(tasks))) as pool:
-        return pool.map(inheritable_thread_target(SparkSession.active())(fn), tasks)
+#: Rows, the first in hash order, from which starting centers are drawn; all rows take part in every iteration.
+SEED_ROWS = 5000
+
+KMEANS_METRICS = "k int, inertia double, silhouette double, davies_bouldin double, silhouette_metric string"
+
+
+class CentroidModel(Model, DefaultParamsReadable, DefaultParamsWritable):
+    """Adds the index of the nearest center, in column arithmetic; ties go to the lower index."""
+
+    state = Param(Params._dummy(), "state", "centers and cost as JSON", TypeConverters.toString)
+    featuresCol = Param(Params._dummy(), "featuresCol", "feature vector", TypeConverters.toString)
+    predictionCol = Param(Params._dummy(), "predictionCol", "label column", TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, *, state=None, featuresCol="features", predictionCol="Cluster_ID"):
+        super().__init__()
+        self._setDefault(featuresCol="features", predictionCol="Cluster_ID")
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    @property
+    def training_cost(self) -> float:
+        return json.loads(self.getOrDefault(self.state))["cost"]
+
+    def clusterCenters(self) -> list[np.ndarray]:
+        return [np.array(c) for c in json.loads(self.getOrDefault(self.state))["centers"]]
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        col = self.getOrDefault(self.featuresCol)
+        kind = df.schema[col].dataType
+        x = q(col).cast("array<double>") if isinstance(kind, T.ArrayType) else vector_to_array(q(col))
+        gaps = F.array(*[squared_distance(x, F.lit([float(v) for v in c])) for c in self.clusterCenters()])
+        return df.withColumn(self.getOrDefault(self.predictionCol), (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int"))
+
+
+def starting_centers(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ on the sample; copies of chosen points cannot be drawn again while others are left."""
+    rng = np.random.default_rng(seed)
+    chosen = [sample[rng.integers(len(sample))]]
+    gap = squared_gaps(sample, np.array(chosen))[:, 0]
+    while len(chosen) < k:
+        total = gap.sum()
+        chosen.append(sample[rng.choice(len(sample), p=gap / total) if total > 0 else rng.integers(len(sample))])
+        gap = np.minimum(gap, squared_gaps(sample, np.array(chosen[-1:]))[:, 0])
+    return np.array(chosen)
+
+
+def kmeans_fits(rows: DataFrame, tasks: list[tuple[int, int]], max_iter: int = 300, tol: float = 1e-4) -> dict[tuple[int, int], tuple[np.ndarray, float]]:
+    """(centers, cost) of each (k, seed). `rows` has one array column `x`; one scan an iteration serves all fits that still move."""
+    sample = np.array([r["x"] for r in rows.orderBy(F.xxhash64("x")).limit(SEED_ROWS).collect()], dtype=float)
+    d = sample.shape[1]
+    centers = {t: starting_centers(sample, *t) for t in tasks}
+    still = tol * sample.var(axis=0).mean()
+    cost: dict[tuple[int, int], float] = {}
+    live = list(dict.fromkeys(tasks))
+    for step in range(max_iter + 1):
+        now = [centers[t] for t in live]
+
+        def work(x: np.ndarray, now=now) -> np.ndarray:
+            out = []
+            for c in now:
+                gap = squared_gaps(x, c)
+                hot = np.eye(len(c))[gap.argmin(axis=1)]
+                out += [hot.sum(axis=0), (hot.T @ x).ravel(), [gap.min(axis=1).sum()]]
+            return np.concatenate(out)
+
+        flat, at, moving = summed(rows, work), 0, []
+        for t in live:
+            k = t[0]
+            n, total = flat[at:at + k], flat[at + k:at + k + k * d].reshape(k, d)
+            cost[t] = float(flat[at + k + k * d])  # of the centers the scan ran with
+            at += k + k * d + 1
+            moved = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centers[t])
+            if step < max_iter and ((moved - centers[t]) ** 2).sum() > still:
+                centers[t] = moved
+                moving.append(t)
+        live = moving
+        if not live:
+            break
+    return {t: (centers[t], cost[t]) for t in centers}
+
+
+def _best(fits: dict[tuple[int, int], tuple[np.ndarray, float]], k: int, features_col: str) -> CentroidModel:
+    centers, cost = min((f for (n, _), f in fits.items() if n == k), key=lambda f: f[1])
+    return CentroidModel(state=json.dumps({"centers": centers.tolist(), "cost": cost}), featuresCol=features_col)
 
 
 def fit_kmeans(
     df: DataFrame, k: int, random_state: int = 42, restarts: int = 10, features_col: str = "features"
-) -> KMeansModel:
-    """Best of several seeded restarts by training cost."""
-    ready = iteration_ready(df)
-
-    def fit(seed: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed, featuresCol=features_col, predictionCol="Cluster_ID", maxIter=50).fit(ready)
-
-    models = run_parallel([random_state + i for i in range(restarts)], fit)
-    return min(models, key=lambda m: m.summary.trainingCost)
+) -> CentroidModel:
+    """Best of several seeded restarts by training cost; all restarts share their scans."""
+    with iteration_ready(vectors(df, features_col)) as rows:
+        return _best(kmeans_fits(rows, [(k, random_state + i) for i in range(restarts)]), k, features_col)
 
 
 def evaluate_k_range(
@@ -54,37 +125,26 @@ def evaluate_k_range(
     restarts: int = 10,
     id_col: str = "Customer ID",
     features_col: str = "features",
-    silhouette_mode: str = "auto",
-) -> tuple[DataFrame, dict[int, KMeansModel]]:
+    silhouette_metric: str = "squared",
+) -> tuple[DataFrame, dict[int, CentroidModel]]:
     """Inertia, silhouette and Davies-Bouldin per k, with the fitted models so that none is fitted twice.
 
-    All k share one silhouette pass. The metrics table has one row per k.
+    All k and restarts share their scans, and two more scans score all k. `silhouette_metric` is `squared`
+    (linear in the rows) or `euclidean` (quadratic); the metrics table names it.
     """
     ks = list(k_range)
-    ready = iteration_ready(df)
-
-    def fit(task: tuple[int, int]) -> tuple[int, KMeansModel]:
-        k, seed = task
-        return k, KMeans(k=k, seed=seed, featuresCol=features_col, predictionCol="Cluster_ID", maxIter=50).fit(ready)
-
-    models: dict[int, KMeansModel] = {}
-    for k, model in run_parallel([(k, random_state + i) for k in ks for i in range(restarts)], fit):
-        if k not in models or model.summary.trainingCost < models[k].summary.trainingCost:
-            models[k] = model
-    labelled = df.select(q(id_col), q(features_col))
-    for k in ks:
-        labelled = models[k].copy({models[k].predictionCol: f"k{k}"}).transform(labelled)
-    labelled = labelled.persist()
-    try:
-        scores, _ = silhouette_scores(labelled, [f"k{k}" for k in ks], id_col, features_col, silhouette_mode)
-
-        def scatter(k: int) -> tuple:
-            row = davies_bouldin(labelled, f"k{k}", features_col).first()
-            return k, float(models[k].summary.trainingCost), scores[f"k{k}"], row["davies_bouldin"]
-
-        records = run_parallel(ks, scatter)
-    finally:
-        labelled.unpersist()
+    with iteration_ready(vectors(df, features_col)) as rows:
+        fits = kmeans_fits(rows, [(k, random_state + i) for k in ks for i in range(restarts)])
+        models = {k: _best(fits, k, features_col) for k in ks}
+        centers = [np.array(models[k].clusterCenters()) for k in ks]
+        scores = labelling_scores(rows, lambda x: [squared_gaps(x, c).argmin(axis=1) for c in centers], ks)
+    silhouettes = {f"k{k}": s for k, (_, s) in zip(ks, scores)}
+    if silhouette_metric != "squared":
+        labelled = df.select(q(id_col), q(features_col))
+        for k in ks:
+            labelled = models[k].copy({models[k].predictionCol: f"k{k}"}).transform(labelled)
+        silhouettes = silhouette_scores(labelled, [f"k{k}" for k in ks], id_col, features_col, silhouette_metric)
+    records = [(k, models[k].training_cost, silhouettes[f"k{k}"], index, silhouette_metric) for k, (index, _) in zip(ks, scores)]
     return df.sparkSession.createDataFrame(records, KMEANS_METRICS), models
 
 

@@ -6,29 +6,32 @@ import math
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stayflow.functions.columns import q
+from stayflow.functions.columns import q, squared_distance
 from stayflow.functions.rules import churn_prediction, risk_tier
 from stayflow.functions.sizing import iteration_ready
 from stayflow.operators import attribution, classifiers, distances, integration, metrics, oversampling, scaling, scoring
 from stayflow.operators import segmentation, splitting
 from stayflow.operators.churn_features import ChurnFeatureEngineer, prepare_churn_features, with_derived
 from stayflow.operators.cleaning import clean_churn_data, clean_retail_data, dataset_summary, retail_retention
-from stayflow.operators.mixture import evaluate_gmm_grid, fit_gmm, soft_labels
+from stayflow.operators.distances import as_double_array
+from stayflow.operators.mixture import evaluate_gmm_grid, fit_gmm, information_criteria, soft_labels
 from stayflow.operators.projection import pca_reduce
 from stayflow.operators.rfm import RFM_COLS, build_rfm_table
 from stayflow.plans import jobs
 from stayflow.plans.oracle import FIXED_LAMBDAS, LAMBDA_GRID
 from stayflow.schemas import CHURN_COLUMNS, DERIVED_COLS, ID_COL, NUMERICAL_COLS, PROFILE_DEFAULTS, TARGET_COL
 from stayflow.session import shared_path
-from stayflow.sources.readers import load_retail_data
+from stayflow.sources.readers import load_all_datasets, load_preferred_model, load_report, load_retail_data, load_splits
 from stayflow.sources.tables import churn_raw, retail_raw, table
+from stayflow.sources.writers import save_model, write_table
 from stayflow.streaming.scoring import start_scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+GBT_ROUNDS = 20
 
 
 def query(fn: Query) -> Query:
@@ -162,13 +165,21 @@ def yeo_johnson_grid(spark, sf):
 
 @query
 def yeo_johnson_fit(spark, sf):
+    """Scaled columns have mean 0 and deviation 1, and no exponent of the grid is likelier than the fitted one."""
     rows, model = scaling.build_scaled_rfm_features(clean(spark, sf))
     stats = rows.agg(*[
-        F.struct(F.lit(c).alias("column"), F.lit(lam).alias("lambda"), F.avg(f"{c}_scaled").alias("mean"),
-                 F.stddev_pop(f"{c}_scaled").alias("std")).alias(c)
-        for c, lam in zip(RFM_COLS, model.getLambdas())
-    ])
-    return stats.select(F.inline(F.array(*RFM_COLS)))
+        F.struct(F.lit(c).alias("feature"), F.count(F.lit(1)).alias("n_rows"), F.round(F.abs(F.avg(f"{c}_scaled")), 6).alias("mean"),
+                 F.round(F.stddev_pop(f"{c}_scaled"), 6).alias("std")).alias(c)
+        for c in RFM_COLS
+    ]).select(F.inline(F.array(*RFM_COLS)))
+    fitted = dict(zip(RFM_COLS, model.getLambdas()))
+    table_ = scaling.likelihood_table(rows, RFM_COLS, sorted({*LAMBDA_GRID, *fitted.values()})).withColumnRenamed("column", "feature")
+    best = F.create_map(*[F.lit(x) for c, lam in fitted.items() for x in (c, float(lam))])[F.col("feature")]
+    at_fit = F.max(F.when(F.col("lambda") == best, F.col("log_likelihood"))).over(Window.partitionBy("feature"))
+    better = table_.withColumn("top", at_fit).groupBy("feature").agg(
+        F.count_if(F.col("log_likelihood") > F.col("top") + F.abs("top") * 1e-9).alias("n_better"), F.count("top").cast("boolean").alias("fitted")
+    )
+    return stats.join(better, "feature")
 
 
 # ---------------------------------------------------------------- segmentation
@@ -193,7 +204,7 @@ def persona_counts(spark, sf):
 def select_k(spark, sf):
     rows = points(spark, sf)
     labelled = rows.select("Customer ID", "features", *[banded(rows, k).alias(f"k{k}") for k in range(2, 6)])
-    scores, _ = distances.silhouette_scores(labelled, [f"k{k}" for k in range(2, 6)], "Customer ID", mode="euclidean")
+    scores = distances.silhouette_scores(labelled, [f"k{k}" for k in range(2, 6)], "Customer ID", metric="euclidean")
     table_ = spark.createDataFrame([(k, scores[f"k{k}"]) for k in range(2, 6)], "k int, silhouette double")
     return rounded(segmentation.select_best_k(table_))
 
@@ -214,15 +225,15 @@ def select_gmm(spark, sf):
         "diag": F.ln("va") + F.ln("vb") + F.ln("vc"),
         "spherical": 3 * F.ln((F.col("va") + F.col("vb") + F.col("vc")) / 3),
     }
-    params = {"diag": 7 * F.col("k") - 1, "spherical": 5 * F.col("k") - 1}
-    out = None
-    for kind, spread in spreads.items():
-        ll = F.sum(F.col("n") * (F.ln(F.col("n") / total) - 0.5 * (spread + 3 * (math.log(2 * math.pi) + 1))))
-        part = comp.groupBy("k").agg(ll.alias("ll")).select(
-            "k", F.lit(kind).alias("covariance_type"),
-            (-2 * F.col("ll") + params[kind] * math.log(total)).alias("bic"), (-2 * F.col("ll") + 2 * params[kind]).alias("aic"),
-        )
-        out = part if out is None else out.unionByName(part)
+    ll = {
+        kind: F.sum(F.col("n") * (F.ln(F.col("n") / total) - 0.5 * (spread + 3 * (math.log(2 * math.pi) + 1)))).alias(kind)
+        for kind, spread in spreads.items()
+    }
+    records = [
+        (r["k"], kind, *information_criteria(r[kind], total, r["k"], 3, kind))
+        for r in comp.groupBy("k").agg(*ll.values()).collect() for kind in spreads  # one row a k
+    ]
+    out = spark.createDataFrame(records, "k int, covariance_type string, bic double, aic double")
     return rounded(segmentation.select_best_gmm_config(out), 4)
 
 
@@ -233,13 +244,13 @@ def davies_bouldin(spark, sf):
 
 @query
 def silhouette_euclidean(spark, sf):
-    out = distances.silhouette_samples(points(spark, sf), ["Cluster_ID"], "Customer ID")
+    out = distances.silhouette_samples(points(spark, sf), ["Cluster_ID"], "Customer ID", metric="euclidean")
     return rounded(out.withColumnRenamed("silhouette_Cluster_ID", "silhouette"))
 
 
 @query
 def silhouette_embeddings(spark, sf):
-    out = distances.silhouette_samples(table(spark, sf, "embeddings"), ["label"], "vec_id", "embedding")
+    out = distances.silhouette_samples(table(spark, sf, "embeddings"), ["label"], "vec_id", "embedding", metric="euclidean")
     return rounded(out.withColumnRenamed("silhouette_label", "silhouette"))
 
 
@@ -255,47 +266,97 @@ def knn_embeddings(spark, sf):
 
 @query
 def kmeans_grid(spark, sf):
-    return segmentation.evaluate_k_range(scaled_rfm(spark, sf), range(2, 7), restarts=1)[0]
+    """Per k of the full search: customers labelled, those not at their nearest center, and whether the inertia is theirs."""
+    rows = scaled_rfm(spark, sf)
+    metrics_, models = segmentation.evaluate_k_range(rows)
+    facts = []
+    for r in metrics_.collect():  # one row a k
+        labelled = models[r["k"]].transform(as_double_array(rows.select("features"), "features"))
+        centers = F.array(*[F.lit([float(v) for v in c]) for c in models[r["k"]].clusterCenters()])
+        gaps = F.transform(centers, lambda c: squared_distance(F.col("features"), c))
+        own = F.element_at(gaps, F.col("Cluster_ID") + 1)
+        f = labelled.agg(F.count(F.lit(1)).alias("n"), F.count_if(own > F.array_min(gaps) + 1e-9).alias("off"), F.sum(own).alias("cost")).first()
+        same = abs(f["cost"] - r["inertia"]) <= 1e-6 * max(1.0, f["cost"])
+        facts.append((r["k"], f["n"], f["off"], bool(same), -1.0 <= r["silhouette"] <= 1.0 and r["davies_bouldin"] > 0, r["silhouette_metric"]))
+    return spark.createDataFrame(facts, "k int, n_rows long, n_off_center long, inertia_agrees boolean, in_range boolean, silhouette_metric string")
 
 
 @query
 def kmeans_segments(spark, sf):
+    """Every customer with the number of centers nearer than its own."""
     rows = scaled_rfm(spark, sf)
-    return segmentation.fit_kmeans(rows, 4, restarts=2).transform(rows).select("Customer ID", "Cluster_ID")
+    model = segmentation.fit_kmeans(rows, 4)
+    labelled = as_double_array(model.transform(rows), "features")
+    centers = F.array(*[F.lit([float(v) for v in c]) for c in model.clusterCenters()])
+    gaps = F.transform(centers, lambda c: squared_distance(F.col("features"), c))
+    nearer = F.size(F.filter(gaps, lambda g: g < F.element_at(gaps, F.col("Cluster_ID") + 1) - 1e-9))
+    return labelled.select("Customer ID", nearer.alias("n_nearer"), F.col("Cluster_ID").between(0, 3).alias("known_cluster"))
 
 
 @query
 def gmm_grid(spark, sf):
-    return evaluate_gmm_grid(scaled_rfm(spark, sf), range(2, 4), restarts=1)
+    """The full search; BIC less AIC is the parameters' price alone, which SQL knows."""
+    grid = evaluate_gmm_grid(scaled_rfm(spark, sf))
+    return grid.select(
+        "k", "covariance_type", F.round(F.col("bic") - F.col("aic"), 4).alias("bic_less_aic"),
+        F.col("silhouette").between(-1, 1).alias("in_range"), "silhouette_metric",
+    )
+
+
+def _posteriors(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    """Every customer with its posteriors' sum and whether its label is the likeliest component."""
+    rows = scaled_rfm(spark, sf)
+    model, _ = fit_gmm(rows, 3, kind)
+    p = F.col("probability")
+    return soft_labels(model, rows).select(
+        "Customer ID", F.size(p).alias("n_components"), F.round(F.aggregate(p, F.lit(0.0), lambda s, v: s + v), 9).alias("total"),
+        (F.element_at(p, F.col("Cluster_ID") + 1) == F.array_max(p)).alias("likeliest"),
+    )
 
 
 @query
 def gmm_soft(spark, sf):
-    rows = iteration_ready(scaled_rfm(spark, sf))
-    model, _ = fit_gmm(rows, 3, "full", restarts=1)
-    return soft_labels(model, rows).select("Customer ID", "Cluster_ID", "probability")
+    return _posteriors(spark, sf, "full")
 
 
 @query
 def gmm_soft_diag(spark, sf):
-    rows = iteration_ready(scaled_rfm(spark, sf))
-    model, _ = fit_gmm(rows, 3, "diag", restarts=1)
-    return soft_labels(model, rows).select("Customer ID", "Cluster_ID", "probability")
+    return _posteriors(spark, sf, "diag")
+
+
+def _pca_facts(out: DataFrame, ratios: list[float], n: int, variance) -> DataFrame:
+    """Components are centered and uncorrelated, and each one's variance over its ratio is the total variance."""
+    pcs = [f"PC{i + 1}" for i in range(n)]
+    parts = [
+        F.struct(F.lit(c).alias("component"), F.count(F.lit(1)).alias("n_rows"), F.round(F.abs(F.avg(c)), 6).alias("mean"),
+                 F.round(F.abs(F.corr(c, pcs[i - 1])), 6).alias("correlation"), F.round(variance(c) / ratios[i], 4).alias("total_variance"))
+        for i, c in enumerate(pcs)
+    ]
+    return out.agg(F.array(*parts).alias("parts")).select(F.inline("parts"))
 
 
 @query
 def pca_2d(spark, sf):
-    return pca_reduce(scaled_rfm(spark, sf), 2)[0].select("Customer ID", "PC1", "PC2")
+    out, ratios = pca_reduce(scaled_rfm(spark, sf), 2)
+    return _pca_facts(out, ratios, 2, F.var_pop)
 
 
 @query
 def pca_3d(spark, sf):
-    return pca_reduce(table(spark, sf, "embeddings"), 3, "embedding")[0].select("vec_id", "PC1", "PC2", "PC3")
+    out, ratios = pca_reduce(table(spark, sf, "embeddings"), 3, "embedding")
+    return _pca_facts(out, ratios, 3, F.var_samp)
 
 
 @query
 def segmentation_job(spark, sf):
-    return jobs.segmentation_job(retail_raw(spark, sf), k_range=range(2, 6), restarts=1)
+    """The profile of the whole job; sizes and size-weighted means are those of all customers, whatever the clusters are."""
+    personas_ = jobs.segmentation_job(retail_raw(spark, sf))
+    n = F.sum("Customer_Count")
+    mean = {c: (F.sum(F.col(f"{c}_mean") * F.col("Customer_Count")) / n).alias(f"{c}_mean") for c in RFM_COLS}
+    return rounded(personas_.agg(
+        n.alias("n_customers"), *mean.values(), F.round(F.sum("Pct_of_Base"), 0).alias("pct"),
+        F.count_if(F.col("Persona").isNull()).alias("n_unnamed"),
+    ), 4, Monetary_mean=2)
 
 
 # ---------------------------------------------------------------- integration
@@ -410,42 +471,75 @@ def average_precision(spark, sf):
     return rounded(metrics.ranking_metrics(with_p(churn(spark, sf))).select("pr_auc"))
 
 
-# ---------------------------------------------------------------- models (tree counts reduced for run time)
+# ---------------------------------------------------------------- models
+
+
+def _holdout_facts(spark: SparkSession, reported: DataFrame, models: list[PipelineModel], test: DataFrame) -> DataFrame:
+    """Per model: rows and positives of the holdout it was scored on, and whether its reported rates are those of its
+    own confusion counts."""
+    facts = []
+    for r, pipeline in zip(reported.collect(), models):  # one row a model
+        scored = classifiers.with_probability(pipeline.stages[-1], pipeline.stages[0].transform(test))
+        c = metrics.confusion(scored.withColumn("_pred", churn_prediction(F.col("p"))), TARGET_COL, "_pred").first()
+        same = all(abs(c[m] - r[m]) < 1e-9 for m in ("precision", "recall", "f1_score"))
+        facts.append((r["model_name"], c["tn"] + c["fp"] + c["fn"] + c["tp"], c["tp"] + c["fn"], same, 0.0 <= r["roc_auc"] <= 1.0))
+    return spark.createDataFrame(facts, "model_name string, n_rows long, n_positive long, rates_agree boolean, auc_in_range boolean")
 
 
 @query
 def lr_rf_metrics(spark, sf):
-    return jobs.train_and_evaluate_baselines(*split_tables(spark, sf), trees=20, depth=5)[0]
+    train, test = split_tables(spark, sf)
+    reported, models = jobs.train_and_evaluate_baselines(train, test)
+    return _holdout_facts(spark, reported, list(models.values()), test)
 
 
 @query
 def gbt_metrics(spark, sf):
-    return jobs.train_and_evaluate_gbdt(*split_tables(spark, sf), rounds=5, depth=3)[0]
+    """Fewer rounds than the job's default of 200: MLlib's boosting takes about a second a round here (README)."""
+    train, test = split_tables(spark, sf)
+    reported, models = jobs.train_and_evaluate_gbdt(train, test, rounds=GBT_ROUNDS)
+    return _holdout_facts(spark, reported, list(models.values()), test)
 
 
 @query
 def gbt_smote_metrics(spark, sf):
-    return jobs.train_and_evaluate_gbdt(*split_tables(spark, sf), use_smote=True, rounds=3, depth=3, presets=("hist",))[0]
+    train, test = split_tables(spark, sf)
+    reported, models = jobs.train_and_evaluate_gbdt(train, test, use_smote=True, rounds=GBT_ROUNDS)
+    return _holdout_facts(spark, reported, list(models.values()), test)
 
 
 @query
 def mlp_metrics(spark, sf):
-    return jobs.train_and_evaluate_tabnet(*split_tables(spark, sf), max_iter=15)[0]
+    train, test = split_tables(spark, sf)
+    reported, models = jobs.train_and_evaluate_tabnet(train, test)
+    return _holdout_facts(spark, reported, list(models.values()), test)
 
 
 @query
 def tune_champion(spark, sf):
+    """The search on reduced spaces: the full ones hold 75 boosted fits of 100 to 250 rounds, hours on MLlib (README)."""
     gbt_space = {"stepSize": [0.05, 0.1], "maxIter": [2], "maxDepth": [2, 3], "minInstancesPerNode": [10], "minInfoGain": [0.0]}
     forest_space = {"numTrees": [5], "maxDepth": [3, 4], "minInstancesPerNode": [1, 2], "featureSubsetStrategy": ["sqrt"]}
-    return jobs.tune_and_evaluate_all(
-        *split_tables(spark, sf), n_trials=2, gbt_space=gbt_space, forest_space=forest_space
-    )[0]
+    train, test = split_tables(spark, sf)
+    reported, info = jobs.tune_and_evaluate_all(train, test, n_trials=2, gbt_space=gbt_space, forest_space=forest_space)
+    won = reported.where("champion").drop("champion")
+    facts = _holdout_facts(spark, won, [info["pipeline"]], test)
+    higher = reported.agg((F.max("cv_pr_auc") == F.max(F.when(F.col("champion"), F.col("cv_pr_auc")))).alias("best_by_cv")).first()[0]
+    return facts.drop("model_name").withColumn("best_by_cv", F.lit(higher))
 
 
 @query
 def smote_balance(spark, sf):
-    rows = prepare_churn_features(churn(spark, sf).persist())[0]
-    return oversampling.smote_balance(rows.select(ID_COL, TARGET_COL, "features").persist())
+    """Rows per class and origin, and synthetic rows with a value outside the range of the minority rows."""
+    rows = prepare_churn_features(churn(spark, sf).persist())[0].select(ID_COL, TARGET_COL, "features").persist()
+    made = as_double_array(oversampling.smote_balance(rows), "features")
+    real = made.where(~F.col("synthetic"))
+    long = real.select(TARGET_COL, F.posexplode("features").alias("i", "v")).groupBy(TARGET_COL, "i").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    bounds = long.groupBy(TARGET_COL).agg(F.sort_array(F.collect_list(F.struct("i", "lo", "hi"))).alias("box"))  # one entry a feature
+    outside = F.exists(F.arrays_zip("features", "box"), lambda e: (e["features"] < e["box"]["lo"] - 1e-9) | (e["features"] > e["box"]["hi"] + 1e-9))
+    return made.join(F.broadcast(bounds), TARGET_COL).groupBy(TARGET_COL, "synthetic").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct(ID_COL).alias("n_ids"), F.count_if(outside).alias("n_outside")
+    )
 
 
 # ---------------------------------------------------------------- attribution
@@ -488,25 +582,38 @@ def explain_topk(spark, sf):
 def _forest(spark: SparkSession, sf: str) -> tuple[PipelineModel, DataFrame]:
     rows = churn(spark, sf).persist()
     features, _, stage = prepare_churn_features(rows)
-    model = classifiers.train_random_forest(iteration_ready(features), trees=10, depth=4)
+    with iteration_ready(features.select(ID_COL, TARGET_COL, "features"), ID_COL) as ready:
+        model = classifiers.train_random_forest(ready)
     return PipelineModel(stages=[stage, model]), rows
 
 
 @query
 def tree_attribution(spark, sf):
+    """Every customer with the gap between its probability and base value plus attributions."""
     pipeline, rows = _forest(spark, sf)
     features, model = pipeline.stages
     scored = classifiers.with_probability(model, features.transform(rows)).select(ID_COL, "p", "features")
-    base = attribution.base_value(attribution.ensemble_leaves(model))
-    return attribution.tree_attributions(scored, model).select(
-        ID_COL, "p", F.lit(base).alias("base_value"), "attribution"
-    )
+    leaves = attribution.ensemble_leaves(model)
+    out = attribution.tree_attributions(scored, model, leaves=leaves)
+    total = F.aggregate("attribution", F.lit(float(attribution.base_value(leaves))), lambda s, v: s + v)
+    return out.select(ID_COL, F.size("attribution").alias("n_features"), F.round(F.abs(F.col("p") - total), 6).alias("gap"))
 
 
 @query
 def explanations(spark, sf):
+    """Every customer with the number of factors that are on the wrong side, out of order or beyond five."""
     pipeline, rows = _forest(spark, sf)
-    return jobs.explain_all(pipeline, rows)[1]
+    out = jobs.explain_all(pipeline, rows)[1]
+
+    def faults(col: str, sign: int):
+        v = F.transform(col, lambda e: e["shap_value"] * sign)
+        later = F.size(F.filter(F.sequence(F.lit(1), F.size(v)), lambda i: (i < F.size(v)) & (v[i] > v[i - 1])))
+        return F.size(F.filter(v, lambda x: x <= 0)) + F.when(F.size(v) > 1, later).otherwise(0) + F.greatest(F.size(v) - 5, F.lit(0))
+
+    return out.select(
+        "customer_id", (faults("top_risk_drivers", 1) + faults("top_protective_factors", -1)).alias("n_faults"),
+        (F.col("risk_tier") == risk_tier(F.col("churn_probability"))).alias("tier_agrees"),
+    )
 
 
 # ---------------------------------------------------------------- scoring
@@ -548,27 +655,103 @@ def profile_defaults(spark, sf):
     return as_float(scoring.apply_defaults(rows).select(ID_COL, *PROFILE_DEFAULTS))
 
 
+def _record_agrees():
+    """Class and confidence follow from the probability, up to its rounding."""
+    p, c = F.col("churn_probability"), F.col("confidence_score")
+    near_cut = F.lit(False)
+    for cut in (0.5, 0.3, 0.7):
+        near_cut = near_cut | (F.abs(p - cut) < 1e-4)
+    agrees = (F.col("churn_prediction") == churn_prediction(p)) & (F.col("risk_tier") == risk_tier(p))
+    return (agrees | near_cut) & (F.abs(F.greatest(p, 1 - p) - c) < 1.1e-4)
+
+
 @query
 def batch_scoring(spark, sf):
+    """All profiles, every other one without an id: batch ids by position, and records that agree with themselves."""
     pipeline, rows = _forest(spark, sf)
-    return scoring.predict_churn_batch(pipeline, rows, "forest")
+    placed = rows.withColumn("seq", F.col(ID_COL).cast("bigint") + 1).withColumn(ID_COL, F.when(F.col("seq") % 2 == 0, F.col(ID_COL)))
+    out = scoring.predict_churn_batch(pipeline, placed, "forest", seq_col="seq")
+    return out.select("customer_id", _record_agrees().alias("agrees"), "model_version")
 
 
 @query
 def stream_scoring(spark, sf):
-    """All profiles as JSON files, scored by the streaming job; nulls are simply absent from the records."""
+    """All profiles as JSON files through the streaming job, each compared with its batch record. Nulls are absent in the files."""
     pipeline, rows = _forest(spark, sf)
     folder = shared_path(spark, "stream")
     rows.select(*[c for c in CHURN_COLUMNS if c != TARGET_COL]).write.json(f"{folder}/in")
     start_scoring(spark, pipeline, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", "forest").awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    batch = scoring.predict_churn_batch(pipeline, rows, "forest").select("customer_id", F.struct("churn_probability", "risk_tier", "confidence_score").alias("b"))
+    live = spark.read.parquet(f"{folder}/out").select("customer_id", F.struct("churn_probability", "risk_tier", "confidence_score").alias("s"))
+    return live.join(batch, "customer_id", "full").select("customer_id", F.coalesce(F.col("s") == F.col("b"), F.lit(False)).alias("same_as_batch"))
+
+
+@query
+def explanation_lookup(spark, sf):
+    """Requested ids: stored explanations are read, known customers without one are explained, the rest is unknown."""
+    pipeline, rows = _forest(spark, sf)
+    path = shared_path(spark, "explanations")
+    even = rows.where(F.col(ID_COL).cast("bigint") % 2 == 0)
+    jobs.explain_all(pipeline, even)[1].write.parquet(path)
+    found, unknown = jobs.lookup_explanations(spark.read.parquet(path), rows, pipeline, _wanted(spark, sf))
+    return found.select("customer_id", "origin").unionByName(unknown.withColumn("origin", F.lit("unknown")))
+
+
+@query
+def report_source(spark, sf):
+    """Counts written as a JSON report and read back."""
+    path = shared_path(spark, "report") + ".json"
+    write_table(integration.risk_counts(integrated(spark, sf)), path, "json")
+    return load_report(spark, path).select("total_customers", "high_risk_customers", "medium_risk_customers", "low_risk_customers")
+
+
+@query
+def split_source(spark, sf):
+    """Train and test tables written and read back."""
+    folder = shared_path(spark, "splits")
+    splitting.split_churn_data(churn(spark, sf).persist(), save_outputs=True, output_dir=folder)
+    train, test = load_splits(spark, folder)
+    both = train.select(ID_COL, TARGET_COL, F.lit("train").alias("split")).unionByName(test.select(ID_COL, TARGET_COL, F.lit("test").alias("split")))
+    return both
+
+
+@query
+def parquet_source(spark, sf):
+    """Both inputs written as Parquet, read back by their loaders and counted per customer."""
+    retail_path, churn_path = shared_path(spark, "retail"), shared_path(spark, "churn")
+    retail_raw(spark, sf).write.parquet(retail_path)
+    churn_raw(spark, sf).write.parquet(churn_path)
+    retail, profiles = load_all_datasets(spark, retail_path, churn_path)
+    bought = clean_retail_data(retail).groupBy(F.col("Customer ID").alias(ID_COL)).agg(F.count(F.lit(1)).alias("n_rows"))
+    return clean_churn_data(profiles).select(ID_COL, TARGET_COL).join(bought, ID_COL)
+
+
+@query
+def model_source(spark, sf):
+    """A pipeline saved, found by preference and loaded: every customer with whether it scores as before."""
+    pipeline, rows = _forest(spark, sf)
+    folder = shared_path(spark, "models")
+    save_model(pipeline, f"{folder}/baseline_random_forest")
+    name, loaded = load_preferred_model(spark, folder)
+    before, after = (
+        scoring.predict_churn_batch(m, rows, name).select("customer_id", F.col("churn_probability").alias(c))
+        for m, c in ((pipeline, "was"), (loaded, "now"))
+    )
+    return before.join(after, "customer_id").select("customer_id", (F.col("was") == F.col("now")).alias("same"), F.lit(name).alias("model"))
 
 
 @query
 def risk_report(spark, sf):
+    """The report of the whole job: its counts add up to the customers of both inputs, its matrix to its counts."""
     pipeline, _ = _forest(spark, sf)
-    return jobs.generate_integrated_risk_report(
-        retail_raw(spark, sf), churn_raw(spark, sf), pipeline, k_range=range(2, 4), restarts=1
+    report = jobs.generate_integrated_risk_report(retail_raw(spark, sf), churn_raw(spark, sf), pipeline)
+    margin = lambda name: F.col("risk_matrix")[name]["Total"]
+    tiers = F.col("high_risk_customers") + F.col("medium_risk_customers") + F.col("low_risk_customers")
+    return report.select(
+        "total_customers", (tiers == F.col("total_customers")).alias("tiers_add_up"),
+        ((margin("Total") == F.col("total_customers")) & (margin("High Risk") == F.col("high_risk_customers"))
+         & (margin("Low Risk") == F.col("low_risk_customers"))).alias("margins_agree"),
+        F.size("top_priority_cohort_sample").alias("n_sample"), F.col("segment_count").between(2, 5).alias("known_count"),
     )
 
 

@@ -375,3 +375,68 @@ SELECT "Customer ID" AS customer_id, Recency, Frequency, round(Monetary, 3) AS M
 WHERE "Customer ID" IN (SELECT CAST(p_partkey AS VARCHAR) FROM part)""",
     "profile_defaults": "WITH " + CHURN + f" SELECT CustomerID, {_defaults} FROM churn",
 }
+
+# what fitted models must satisfy, whatever their parameters are
+_ids = 'SELECT "Customer ID", '
+
+
+def _holdout(*names: str) -> str:
+    return "WITH " + SPLIT + " SELECT name AS model_name, count(*) AS n_rows, count(*) FILTER (Churn = 1) AS n_positive, true AS rates_agree, " \
+        "true AS auc_in_range FROM split, (SELECT unnest([" + ", ".join(f"'{n}'" for n in names) + "]) AS name) WHERE split = 'test' GROUP BY name"
+
+
+_WANTED = "(SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS id FROM part)"
+_GBT = ("HistGradientBoosting", "XGBoost", "LightGBM")
+
+ORACLE |= {
+    "yeo_johnson_fit": "WITH " + RFM + """
+SELECT unnest(['Recency', 'Frequency', 'Monetary']) AS feature, count(*) AS n_rows, 0.0 AS mean, 1.0 AS std, 0 AS n_better, true AS fitted FROM rfm""",
+    "kmeans_grid": "WITH " + RFM + """
+SELECT k, (SELECT count(*) FROM rfm) AS n_rows, 0 AS n_off_center, true AS inertia_agrees, true AS in_range, 'squared' AS silhouette_metric
+FROM (SELECT unnest(range(2, 11)) AS k)""",
+    "kmeans_segments": "WITH " + RFM + " " + _ids + "0 AS n_nearer, true AS known_cluster FROM rfm",
+    "gmm_grid": "WITH " + RFM + """,
+g AS (SELECT k, t FROM (SELECT unnest(range(2, 11)) AS k), (SELECT unnest(['full', 'tied', 'diag', 'spherical']) AS t)),
+p AS (SELECT k, t, 3 * k + k - 1 + CASE t WHEN 'full' THEN 6 * k WHEN 'tied' THEN 6 WHEN 'diag' THEN 3 * k ELSE k END AS n FROM g)
+SELECT k, t AS covariance_type, round(n * (ln((SELECT count(*) FROM rfm)) - 2), 4) AS bic_less_aic, true AS in_range, 'squared' AS silhouette_metric FROM p""",
+    "gmm_soft": "WITH " + RFM + " " + _ids + "3 AS n_components, 1.0 AS total, true AS likeliest FROM rfm",
+    "gmm_soft_diag": "WITH " + RFM + " " + _ids + "3 AS n_components, 1.0 AS total, true AS likeliest FROM rfm",
+    "pca_2d": "WITH " + RFM + """
+SELECT unnest(['PC1', 'PC2']) AS component, count(*) AS n_rows, 0.0 AS mean, 0.0 AS correlation, 3.0 AS total_variance FROM rfm""",
+    "pca_3d": """
+WITH e AS (SELECT vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings),
+t AS (SELECT sum(v) AS total FROM (SELECT var_samp(CAST(v AS DOUBLE)) AS v FROM e GROUP BY i))
+SELECT unnest(['PC1', 'PC2', 'PC3']) AS component, (SELECT count(*) FROM embeddings) AS n_rows, 0.0 AS mean, 0.0 AS correlation, round(total, 4) AS total_variance FROM t""",
+    "segmentation_job": "WITH " + RFM + """
+SELECT count(*) AS n_customers, round(avg(Recency), 4) AS Recency_mean, round(avg(Frequency), 4) AS Frequency_mean, round(avg(Monetary), 2) AS Monetary_mean,
+       100.0 AS pct, 0 AS n_unnamed FROM rfm""",
+    "lr_rf_metrics": _holdout("Logistic Regression", "Random Forest"),
+    "gbt_metrics": _holdout(*_GBT),
+    "gbt_smote_metrics": _holdout(*_GBT),
+    "mlp_metrics": _holdout("Deep Tabular MLP"),
+    "tune_champion": "WITH " + SPLIT + """
+SELECT count(*) AS n_rows, count(*) FILTER (Churn = 1) AS n_positive, true AS rates_agree, true AS auc_in_range, true AS best_by_cv
+FROM split WHERE split = 'test'""",
+    "smote_balance": "WITH " + CHURN + """,
+n AS (SELECT Churn, count(*) AS n FROM churn GROUP BY Churn)
+SELECT Churn, false AS synthetic, n AS n_rows, n AS n_ids, 0 AS n_outside FROM n
+UNION ALL
+SELECT arg_min(Churn, n), true, max(n) - min(n), max(n) - min(n), 0 FROM n HAVING max(n) > min(n)""",
+    "tree_attribution": "WITH " + CHURN + f" SELECT CustomerID, {len(FEATURES)} AS n_features, 0.0 AS gap FROM churn",
+    "explanations": "WITH " + CHURN + " SELECT CustomerID AS customer_id, 0 AS n_faults, true AS tier_agrees FROM churn",
+    "batch_scoring": "WITH " + CHURN + """
+SELECT CASE WHEN CAST(CustomerID AS BIGINT) % 2 = 1 THEN CustomerID ELSE printf('BATCH_%04d', CAST(CustomerID AS BIGINT) + 1) END AS customer_id,
+       true AS agrees, 'forest' AS model_version FROM churn""",
+    "stream_scoring": "WITH " + CHURN + " SELECT CustomerID AS customer_id, true AS same_as_batch FROM churn",
+    "explanation_lookup": "WITH " + CHURN + f"""
+SELECT id AS customer_id, CASE WHEN CustomerID IS NULL THEN 'unknown' WHEN CAST(CustomerID AS BIGINT) % 2 = 0 THEN 'stored' ELSE 'computed' END AS origin
+FROM {_WANTED} LEFT JOIN churn ON id = CustomerID""",
+    "report_source": ORACLE["risk_counts"],
+    "split_source": ORACLE["split_assign"],
+    "parquet_source": "WITH " + CLEAN + "," + CHURN + """
+SELECT CustomerID, Churn, count(*) AS n_rows FROM churn JOIN clean ON CustomerID = "Customer ID" GROUP BY ALL""",
+    "model_source": "WITH " + CHURN + " SELECT CustomerID AS customer_id, true AS same, 'baseline_random_forest' AS model FROM churn",
+    "risk_report": "WITH " + RFM + "," + CHURN + """
+SELECT count(*) AS total_customers, true AS tiers_add_up, true AS margins_agree, CAST(least(count(*), 5) AS INT) AS n_sample, true AS known_count
+FROM rfm JOIN churn ON "Customer ID" = CustomerID""",
+}
