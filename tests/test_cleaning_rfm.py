@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stayflow.functions.columns import half_even, id_string
+from stayflow.functions.rules import churn_prediction, confidence
 from stayflow.operators.cleaning import clean_churn_data, clean_retail_data, clean_retail_observed, retail_retention
 from stayflow.operators.rfm import build_rfm_table
 from stayflow.schemas import CHURN_SCHEMA, RETAIL_COLUMNS
@@ -67,9 +68,40 @@ def test_churn_recodes(spark):
 
 
 def test_id_and_half_even(spark):
-    row = spark.range(1).select(id_string(F.lit("13085.0")).alias("i"), half_even(F.lit(2.5), 0).alias("a"),
-                                half_even(F.lit(0.12345), 4).alias("b")).first()
-    assert (row["i"], row["a"], row["b"]) == ("13085", 2.0, 0.1234)
+    row = spark.range(1).select(
+        id_string(F.lit("13085.0")).alias("a"), id_string(F.lit(13085.0), "double").alias("b"), id_string(F.lit(9007199254740993), "bigint").alias("c"),
+        id_string(F.lit("9007199254740993")).alias("d"), id_string(F.lit(None).cast("string")).alias("e"),
+    ).first()
+    assert tuple(row) == ("13085", "13085", "9007199254740993", "9007199254740993", None)
+    values = [2.5, 0.00125, 0.12345, 0.45675, 0.5, 1.5, 0.00005, 0.00015, 1e15 + 0.5, 1e300, 0.0] + [i / 80000 for i in range(1, 400, 2)]
+    values += [-v for v in values]
+    for digits in (0, 2, 4):
+        got = spark.createDataFrame([(v,) for v in values], "v double").select(half_even(F.col("v"), digits)).collect()
+        assert [r[0] for r in got] == [round(v, digits) for v in values]
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),)], "v double").select(half_even(F.col("v"), 4)).collect()
+    assert odd[0][0] is None and odd[1][0] != odd[1][0] and odd[2][0] == float("inf")
+
+
+def test_ids_beyond_doubles_stay_apart(spark):
+    rows = retail(spark)
+    raw = rows.withColumn("Customer ID", F.lit(9007199254740992)).unionByName(rows.withColumn("Customer ID", F.lit(9007199254740993)))
+    ids = {r[0] for r in build_rfm_table(clean_retail_data(raw)).select("Customer ID").collect()}
+    assert ids == {"9007199254740992", "9007199254740993"}
+
+
+def test_missing_probability_is_no_churn(spark):
+    df = spark.createDataFrame([(0.5,), (0.4999,), (None,), (float("nan"),)], "p double")
+    assert [r[0] for r in df.select(churn_prediction(F.col("p"))).collect()] == [1, 0, 0, 0]
+    assert [r[0] for r in df.select(confidence(F.col("p"))).collect()][2:] == [None, None]
+
+
+def test_files_with_another_column_order_are_refused(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    swapped = [{"Quantity": "Price", "Price": "Quantity"}.get(c, c) for c in RETAIL_COLUMNS]
+    for order in (RETAIL_COLUMNS, swapped):
+        retail(spark).select(*order).coalesce(1).write.mode("append").option("header", True).csv(str(folder))
+    with pytest.raises(Exception, match="(?i)header|column"):
+        load_retail_data(spark, str(folder), "csv").agg(F.sum("Price")).collect()
 
 
 def test_missing_column_is_named(spark, tmp_path):

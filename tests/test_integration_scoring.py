@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -19,7 +20,7 @@ from pyspark.ml import PipelineModel
 
 
 def test_tier_boundaries(spark):
-    df = spark.createDataFrame([(0.85,), (0.70,), (0.50,), (0.30,), (0.15,), (None,), (float("nan"),)], "p double")
+    df = spark.createDataFrame([(0.99,), (0.70,), (0.6999,), (0.30,), (0.2999,), (None,), (float("nan"),)], "p double")
     got = [r[0] for r in df.select(risk_tier(F.col("p"))).collect()]
     high, medium, low = TIERS
     assert got == [high, high, medium, medium, low, low, low]
@@ -30,7 +31,7 @@ def tables(spark, ids=("1", "2", "3", "4", "5")):
         [(i, r, f, float(m), c) for i, (r, f, m, c) in zip(["1", "2", "3", "4", "5"], [
             (5, 20, 5000, 0), (7, 22, 5200, 0), (300, 1, 50, 1), (6, 21, 4800, 0), (310, 2, 60, 1)])],
         "`Customer ID` string, Recency int, Frequency int, Monetary double, Cluster_ID int")
-    pred = spark.createDataFrame(list(zip(ids, [0.10, 0.45, 0.85, 0.05, 0.90])), "CustomerID string, Churn_Probability double")
+    pred = spark.createDataFrame(list(zip(ids, [0.12, 0.41, 0.77, 0.02, 0.93])), "CustomerID string, Churn_Probability double")
     return rfm, pred
 
 
@@ -143,3 +144,34 @@ def test_segmentation_job_writes_personas(spark, tmp_path):
     out = jobs.segmentation_job(retail_raw(spark, SF_SMALL), str(tmp_path), k_range=range(2, 4), restarts=1)
     assert sum(r["Pct_of_Base"] for r in out.collect()) == pytest.approx(100, abs=0.05)
     assert spark.read.option("header", True).csv(str(tmp_path / "customer_segments_with_personas.csv")).count() == out.count()
+
+
+def test_models_score_after_rows_were_observed(spark, tmp_path):
+    from stayflow.operators.cleaning import clean_retail_observed
+    from stayflow.operators.classifiers import train_logistic_regression
+    from stayflow.operators.tuning import tune_random_forest
+
+    observed, before, _ = clean_retail_observed(retail_raw(spark, SF_SMALL))
+    assert observed.count() <= before.get["rows"]
+    rows = churn(spark, SF_SMALL).persist()
+    features, _, stage = prepare_churn_features(rows)
+    space = {"numTrees": [3], "maxDepth": [3], "minInstancesPerNode": [1], "featureSubsetStrategy": ["sqrt"]}
+    tuned = tune_random_forest(features.select("CustomerID", "Churn", "features"), n_trials=1, space=space)[0]
+    for model in (train_logistic_regression(features), train_random_forest(features, trees=3, depth=3), tuned):
+        pipeline = PipelineModel(stages=[stage, model])
+        batch = scoring.predict_churn_batch(pipeline, rows, "m")
+        assert batch.count() == rows.count()
+        folder = tmp_path / type(model).__name__ / model.uid
+        rows.drop("Churn").write.json(str(folder / "in"))
+        start_scoring(spark, pipeline, str(folder / "in"), str(folder / "out"), str(folder / "checkpoint"), "m").awaitTermination()
+        assert spark.read.parquet(str(folder / "out")).exceptAll(batch).isEmpty()
+
+
+def test_batch_ids_follow_positions(spark):
+    rows = churn(spark, SF_SMALL).limit(4).withColumn("CustomerID", F.when(F.col("CustomerID").cast("int") % 2 == 0, F.col("CustomerID"))).persist()
+    features, _, stage = prepare_churn_features(churn(spark, SF_SMALL).persist())
+    pipeline = PipelineModel(stages=[stage, train_random_forest(features, trees=2, depth=2)])
+    placed = rows.withColumn("seq", F.row_number().over(Window.orderBy("Tenure", "CashbackAmount")))
+    got = {r["customer_id"] for r in scoring.predict_churn_batch(pipeline, placed, "m", seq_col="seq").collect()}
+    want = {r["CustomerID"] or f"BATCH_{r['seq']:04d}" for r in placed.collect()}
+    assert got == want and len(got) == 4

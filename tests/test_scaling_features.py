@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from stayflow.operators.churn_features import ChurnFeatureEngineer, ChurnFeatureModel, prepare_churn_features
 from stayflow.operators.ordered import global_positions, running_totals
-from stayflow.operators import ordered, quantiles
+from stayflow.operators import ordered
 from stayflow.operators.quantiles import exact_medians, exact_quantiles
 from stayflow.operators.scaling import RFMScaler, fit_lambdas, yeo_johnson
 from stayflow.plans.catalog import churn
@@ -68,7 +68,7 @@ def test_quantiles_interpolate_like_numpy(spark, limit):
     clean = [v for v in values if v is not None and not math.isnan(v)]
     got = exact_quantiles(df, ["v"], [0.0, 0.33, 0.5, 0.66, 1.0], limit)["v"]
     assert np.allclose(got, np.quantile(clean, [0, 0.33, 0.5, 0.66, 1]), rtol=1e-9)
-    assert exact_medians(df.filter("v IS NULL"), ["v"], limit)["v"] is None
+    assert exact_medians(df.filter("v IS NULL"), ["v"])["v"] is None
     assert exact_quantiles(spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,)], "v double"), ["v"], [0.5, 0.66])["v"] == pytest.approx([2.5, 2.98])
 
 
@@ -76,7 +76,16 @@ def test_narrowing_on_many_distinct_values(spark):
     df = lognormal(spark)
     x = df.toPandas()["a"].to_numpy()
     assert exact_quantiles(df, ["a"], [0.1, 0.5, 0.9], 5)["a"] == pytest.approx(list(np.quantile(x, [0.1, 0.5, 0.9])), rel=1e-12)
-    assert quantiles.BINS == 1024
+
+
+def test_quantiles_of_a_million_values_and_of_infinities(spark):
+    df = spark.range(1_000_000).select((F.pmod(F.xxhash64("id"), F.lit(10**9)) / 7.0).alias("a"), F.lit(2.0).alias("b"), F.lit(None).cast("double").alias("c"))
+    x = df.select("a").toPandas()["a"].to_numpy()
+    got = exact_quantiles(df, ["a", "b", "c"], [0.25, 0.5])
+    assert got["a"] == pytest.approx(list(np.quantile(x, [0.25, 0.5])), rel=1e-12) and got["b"] == [2.0, 2.0] and got["c"] == [None, None]
+    inf = float("inf")
+    odd = spark.createDataFrame([(v,) for v in (-inf, -inf, 1.0, 2.0, inf)], "v double")
+    assert exact_quantiles(odd, ["v"], [0.0, 0.5, 0.75, 1.0], 2)["v"] == [-inf, 1.0, 2.0, inf]
 
 
 def test_running_totals_and_positions_across_ranges(spark, monkeypatch):
