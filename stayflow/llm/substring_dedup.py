@@ -73,7 +73,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", uni
     found = kept_whole(units(docs, id_col, text_col, unit, min_words))
     rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "digest", "start")
     shared = found.groupBy("unit").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where(F.col("first") != F.col("last"))
-    later = found.join(shared.select("unit", "first"), "unit").where(rank != F.col("first"))
+    # written out, so that both sides of the join are plain exchanges and AQE can split a unit that stands everywhere
+    later = found.join(kept_whole(shared.select("unit", "first")), "unit").where(rank != F.col("first"))
     return later.select("id", "digest", "start", "end", F.col("first.id").alias("kept_in"))
 
 
