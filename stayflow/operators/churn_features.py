@@ -59,6 +59,11 @@ class _State(Params):
         TypeConverters.toString,
     )
 
+    nullCategory = Param(
+        Params._dummy(), "nullCategory", "zeros: a missing category is all zeros; own: it has a column where training had one missing",
+        TypeConverters.toString,
+    )
+
     def _features(self) -> str:
         return "features"
 
@@ -67,9 +72,9 @@ class ChurnFeatureEngineer(Estimator, _State, DefaultParamsReadable, DefaultPara
     """Learns medians, category lists and, if asked, means and population deviations."""
 
     @keyword_only
-    def __init__(self, *, scaleFeatures=False, medianScope="fit"):
+    def __init__(self, *, scaleFeatures=False, medianScope="fit", nullCategory="zeros"):
         super().__init__()
-        self._setDefault(scaleFeatures=False, medianScope="fit")
+        self._setDefault(scaleFeatures=False, medianScope="fit", nullCategory="zeros")
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "ChurnFeatureModel":
@@ -77,10 +82,12 @@ class ChurnFeatureEngineer(Estimator, _State, DefaultParamsReadable, DefaultPara
         raw = exact_medians(df, NUMERICAL_COLS)
         derived = exact_medians(with_derived(df, raw), DERIVED_COLS)
         pairs = F.array(*[F.struct(F.lit(c).alias("c"), q(c).alias("v")) for c in CATEGORICAL_COLS])
-        found: dict[str, list[str]] = {c: [] for c in CATEGORICAL_COLS}
+        found: dict[str, list[str | None]] = {c: [] for c in CATEGORICAL_COLS}
+        own = self.getOrDefault(self.nullCategory) == "own"
         # as many rows as the model has category columns
-        for r in df.select(F.explode(pairs).alias("p")).select("p.*").where(F.col("v").isNotNull()).distinct().orderBy("c", "v").collect():
-            found[r["c"]].append(r["v"])
+        for r in df.select(F.explode(pairs).alias("p")).select("p.*").distinct().orderBy("c", F.col("v").asc_nulls_last()).collect():
+            if own or r["v"] is not None:
+                found[r["c"]].append(r["v"])
         state = {
             "medians": {**raw, **derived},
             "categories": found,
@@ -119,7 +126,7 @@ class ChurnFeatureModel(Model, _State, DefaultParamsReadable, DefaultParamsWrita
     @property
     def feature_names(self) -> list[str]:
         categories = self.learned["categories"]
-        return NUMERICAL_COLS + DERIVED_COLS + [f"{c}_{v}" for c in CATEGORICAL_COLS for v in categories[c]]
+        return NUMERICAL_COLS + DERIVED_COLS + [f"{c}_{'missing' if v is None else v}" for c in CATEGORICAL_COLS for v in categories[c]]
 
     def _transform(self, df: DataFrame) -> DataFrame:
         learned = self.learned
@@ -131,7 +138,7 @@ class ChurnFeatureModel(Model, _State, DefaultParamsReadable, DefaultParamsWrita
         raw = {c: _number(c) for c in NUMERICAL_COLS} | derived_features(bridge)
         values = [F.coalesce(raw[c], F.lit(medians[c])) for c in NUMERICAL_COLS + DERIVED_COLS]
         for c in CATEGORICAL_COLS:
-            values += [F.coalesce((q(c) == F.lit(v)).cast("double"), F.lit(0.0)) for v in learned["categories"][c]]
+            values += [q(c).eqNullSafe(F.lit(v)).cast("double") for v in learned["categories"][c]]
         if self.getOrDefault(self.scaleFeatures):
             values = [(v - F.lit(m)) / F.lit(s) for v, m, s in zip(values, learned["means"], learned["stds"])]
         names = self.feature_names

@@ -69,7 +69,19 @@ def score_table(df: DataFrame, label_col: str, score_col: str) -> DataFrame:
 def ranking_metrics(df: DataFrame, label_col: str = "Churn", score_col: str = "p") -> DataFrame:
     """ROC-AUC (ties count half) and average precision, exact, from running counts over distinct scores."""
     # kept, because range cuts, range totals and running counts each read it; scoring runs once
+    return _ranking(score_table(df, label_col, score_col).persist())
+
+
+def _ranking_now(df: DataFrame, label_col: str, score_col: str):
+    """The row of `ranking_metrics`, with its kept table released."""
     table = score_table(df, label_col, score_col).persist()
+    try:
+        return _ranking(table).first()
+    finally:
+        table.unpersist()
+
+
+def _ranking(table: DataFrame) -> DataFrame:
     scores = running_totals(table, "score", {"pos": "cum_pos", "neg": "cum_neg"}, descending=True)
     sums = scores.agg(
         F.sum("pos").alias("n_pos"),
@@ -89,7 +101,7 @@ def evaluate_model_performance(
 ) -> dict[str, float | str]:
     """Metric record of a scored table; the class is 1 from a probability of 0.5 on."""
     scored = df.withColumn("_pred", churn_prediction(q(score_col)))
-    ranks = ranking_metrics(scored, label_col, score_col).first()
+    ranks = _ranking_now(scored, label_col, score_col)
     conf = confusion(scored, label_col, "_pred").first()
     return {
         "model_name": model_name, "roc_auc": ranks["roc_auc"], "pr_auc": ranks["pr_auc"], "f1_score": conf["f1_score"],
@@ -118,7 +130,7 @@ class AveragePrecisionEvaluator(Evaluator, DefaultParamsReadable, DefaultParamsW
         scored = dataset.select(
             q(label).cast("int").alias("y"), positive_probability(self.getOrDefault(self.probabilityCol)).alias("p")
         )
-        return ranking_metrics(scored, "y", "p").first()["pr_auc"] or 0.0
+        return _ranking_now(scored, "y", "p")["pr_auc"] or 0.0
 
     def isLargerBetter(self) -> bool:
         return True

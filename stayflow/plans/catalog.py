@@ -568,12 +568,13 @@ def global_importance(spark, sf):
 def explain_topk(spark, sf):
     rows, names = _zscored(spark, sf)
     out = attribution.explain_customers(with_p(rows), names)
-    sides = [
-        out.select("customer_id", F.lit(side).alias("side"), F.posexplode(col).alias("pos", "f"))
+    sides = F.array(*[
+        F.struct(F.lit(side).alias("side"), F.col(col).alias("factors"))
         for side, col in (("risk", "top_risk_drivers"), ("protective", "top_protective_factors"))
-    ]
+    ])
+    long = out.select("customer_id", F.explode(sides).alias("s")).select("customer_id", "s.side", F.posexplode("s.factors").alias("pos", "f"))
     # ratios of decimal sums end in exact halves, which no digit count keeps stable across engines: whole part only
-    return sides[0].unionByName(sides[1]).select(
+    return long.select(
         "customer_id", "side", (F.col("pos") + 1).alias("rank"), "f.feature", F.round("f.shap_value", 4).alias("shap_value"),
         F.floor("f.feature_value").cast("bigint").alias("feature_value_floor"), "f.impact",
     )

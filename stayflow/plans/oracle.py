@@ -97,6 +97,7 @@ churn AS (
 prob AS (SELECT *, ((CAST(CustomerID AS BIGINT) * 7919) % 1000) / 1000.0::DOUBLE AS p FROM churn)"""
 
 TIER = "CASE WHEN p >= 0.7 THEN 'High Risk' WHEN p >= 0.3 THEN 'Medium Risk' ELSE 'Low Risk' END"
+# Action and persona texts, as in functions/rules.py.
 ACTION = """CASE
     WHEN Persona = 'Champions' AND Risk_Tier = 'High Risk' THEN '[CRITICAL] Immediate VIP Concierge Call & Personal Executive Discount'
     WHEN Persona IN ('Champions', 'Loyal / Steady') AND Risk_Tier IN ('High Risk', 'Medium Risk')

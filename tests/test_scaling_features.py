@@ -141,3 +141,17 @@ def test_batch_scope_uses_own_medians(spark):
     orders = gap.filter("CustomerID = '3'").first()["OrderCount"]
     assert row["OrderVelocity"] == pytest.approx(orders / (med + 1))
     assert len(CATEGORICAL_COLS) == 5
+
+
+def test_missing_category_may_have_its_own_column(spark):
+    from stayflow.operators.churn_features import ChurnFeatureEngineer
+    from stayflow.plans.catalog import churn
+    from conftest import SF_SMALL
+
+    rows = churn(spark, SF_SMALL).withColumn("Gender", F.when(F.col("Gender") == "Male", F.col("Gender"))).persist()
+    zeros = ChurnFeatureEngineer().fit(rows)
+    own = ChurnFeatureEngineer(nullCategory="own").fit(rows)
+    assert set(own.feature_names) - set(zeros.feature_names) == {"Gender_missing"}
+    got = own.transform(rows).agg(F.sum("Gender_missing").alias("m"), F.sum("Gender_Male").alias("n")).first()
+    assert got["m"] == rows.where("Gender IS NULL").count() and got["n"] == rows.where("Gender = 'Male'").count()
+    assert own.transform(rows.withColumn("Gender", F.lit("else"))).agg(F.sum("Gender_missing")).first()[0] == 0
