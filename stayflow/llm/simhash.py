@@ -198,7 +198,9 @@ def _classes(marks: DataFrame, hot: int) -> DataFrame:
     distinct = kept_whole(marks.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(distinct.select("fp"), hot))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "root", "component")
+    # written out, so that both sides of the join are plain exchanges and AQE can split a class with many fingerprints
+    least = kept_whole(rooted.groupBy("root").agg(F.min("least").alias("component")))
+    return rooted.join(least, "root").select("fp", "root", "component")
 
 
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
