@@ -8,7 +8,7 @@ the sample is kept from the fit; on it the softmax temperature is set, and the l
 MAX_ERROR of the accepted texts are wrong. Predictions below it are flagged as rejected.
 
 At prediction the two linear steps are one table of bucket logits, under a megabyte a few languages, broadcast
-to the scan. Whole texts are read; words are looked up once per worker.
+to the scan. Whole texts are read; the n-grams of a text's distinct words are hashed as arrays.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; without labelled rows every
 text is `und`; labels of null are not learned; rows may repeat; an empty table gives an empty result.
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import re
 import uuid
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass
@@ -39,17 +38,36 @@ EXTRACTS, EXTRACT_WORDS = 3, 6
 MAX_ERROR = 0.01
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
-#: Words and n-grams a worker remembers before it starts afresh.
-REMEMBERED = 100_000
-
-
-def grams(word: str) -> list[str]:
-    marked = f"<{word}>"
-    return [marked, *(marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1))]
-
-
-def bucket(gram: str) -> int:
-    return zlib.crc32(gram.encode("utf-8", "surrogatepass")) % BUCKETS
+#: Distinct words of a text whose n-grams are held at a time.
+SLICE = 20_000
+STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def hashed(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, index of the word) of every n-gram inside <word>, and of every whole <word>.
+
+    The words' code points are one array, so each n takes a few array operations for all words.
+    """
+    marked = [f"<{w}>" for w in found]
+    points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, marked), np.int64, len(marked))
+    starts = np.cumsum(lengths) - lengths
+    owner = np.repeat(np.arange(len(marked)), lengths)
+    hashes, owners = [], []
+    for n in GRAMS:
+        last = len(points) - n + 1
+        inside = np.flatnonzero(owner[:last] == owner[n - 1 :])
+        h = np.full(len(inside), n, np.uint64)
+        for k in range(n):
+            h = h * STEP + points[inside + k]
+        hashes.append(h)
+        owners.append(owner[inside])
+    powers = np.cumprod(np.full(lengths.max(), STEP))
+    hashes.append(np.add.reduceat(points * powers[np.arange(len(points)) - starts[owner]], starts))
+    owners.append(np.arange(len(marked)))
+    h = np.concatenate(hashes)
+    h = (h ^ (h >> np.uint64(32))) * MIX
+    return (h >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), np.concatenate(owners)
 
 
 def words(text: str | None) -> Counter[str]:
@@ -59,12 +77,18 @@ def words(text: str | None) -> Counter[str]:
     return found
 
 
+def slices(found: Counter[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bucket, count) of the n-grams of a text, SLICE distinct words at a time."""
+    names, counts = list(found), np.fromiter(found.values(), np.float64, len(found))
+    for a in range(0, len(names), SLICE):
+        buckets, owner = hashed(names[a : a + SLICE])
+        yield buckets, counts[a : a + SLICE][owner]
+
+
 def bucket_counts(found: Counter[str]) -> tuple[np.ndarray, np.ndarray]:
-    total: Counter[int] = Counter()
-    for word, n in found.items():
-        for g in grams(word):
-            total[bucket(g)] += n
-    return np.fromiter(total.keys(), np.int32, len(total)), np.fromiter(total.values(), np.float32, len(total))
+    total = sum(np.bincount(b, n, BUCKETS) for b, n in slices(found))
+    ids = np.flatnonzero(total)
+    return ids.astype(np.int32), total[ids].astype(np.float32)
 
 
 @dataclass
@@ -160,49 +184,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit([(y, np.frombuffer(i, np.int32), np.frombuffer(c, np.float32), held) for y, i, c, held in examples], languages)
 
 
-class Predictor:
-    """Looks words up in the bucket logits; what it remembers is bounded."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.of_gram: dict[str, int] = {}
-        self.of_word: dict[str, int] = {}
-        self.sums = np.zeros((1024, len(model.languages)))
-        self.sizes = np.zeros(1024)
-
-    def _learn(self, new: list[str]) -> None:
-        if len(self.of_gram) > REMEMBERED:
-            self.of_gram.clear()
-        per_word = [grams(w) for w in new]
-        of_gram = self.of_gram
-        ids = []
-        for g in (g for gs in per_word for g in gs):
-            i = of_gram.get(g)
-            if i is None:
-                i = of_gram[g] = bucket(g)
-            ids.append(i)
-        sizes = np.fromiter(map(len, per_word), np.int64, len(per_word))
-        sums = np.add.reduceat(self.model.logits[ids], np.concatenate(([0], np.cumsum(sizes)[:-1])), axis=0)
-        first = len(self.of_word)
-        while first + len(new) > len(self.sizes):
-            self.sums, self.sizes = np.concatenate((self.sums, np.zeros_like(self.sums))), np.concatenate((self.sizes, np.zeros_like(self.sizes)))
-        self.sums[first : first + len(new)], self.sizes[first : first + len(new)] = sums, sizes
-        self.of_word.update(zip(new, range(first, first + len(new)), strict=True))
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        found = words(text)
-        if not found:
-            return UNKNOWN, 0.0
-        if len(self.of_word) > REMEMBERED:
-            self.of_word.clear()
-        if new := [w for w in found if w not in self.of_word]:
-            self._learn(new)
-        rows = [self.of_word[w] for w in found]
-        counts = np.fromiter(found.values(), np.float64, len(found))
-        z = (counts @ self.sums[rows]) / (counts @ self.sizes[rows]) + self.model.bias
-        p = _softmax(z / self.model.temperature)
-        best = int(p.argmax())
-        return self.model.languages[best], float(p[best])
+def predict_text(model: Model, text: str | None) -> tuple[str, float]:
+    z, n = np.zeros(len(model.languages)), 0.0
+    for buckets, counts in slices(words(text)):
+        z += counts @ model.logits[buckets]
+        n += counts.sum()
+    if not n:
+        return UNKNOWN, 0.0
+    p = _softmax((z / n + model.bias) / model.temperature)
+    best = int(p.argmax())
+    return model.languages[best], float(p[best])
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", **keep: Column) -> DataFrame:
@@ -216,8 +207,8 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", **keep
     def named(texts):
         import pandas as pd
 
-        predictor = once(key, lambda: Predictor(Model(*held.value)))
-        return pd.DataFrame([predictor.predict(t) for t in texts], columns=["lang_pred", "score"])
+        fitted = once(key, lambda: Model(*held.value))
+        return pd.DataFrame([predict_text(fitted, t) for t in texts], columns=["lang_pred", "score"])
 
     found = docs.select(*[c.alias(n) for n, c in keep.items()], named(q(text_col).cast("string")).alias("found"))
     return found.select(*keep, "found.lang_pred", "found.score", (F.col("found.score") < model.accept).alias("rejected"))

@@ -205,6 +205,17 @@ def test_sentence_pieces_are_counted_whole(spark):
     assert got == {1: len(library.encode("Some words here.")), 2: 0}
 
 
+def test_ngrams_of_all_words_are_those_of_each():
+    found = ["abc", "été", "x", "abc", "longerword"]
+    buckets, owner = language_id.hashed(found)
+    for i, w in enumerate(found):
+        alone, _ = language_id.hashed([w])
+        assert sorted(buckets[owner == i]) == sorted(alone)
+        assert len(alone) == sum(max(0, len(w) + 2 - n + 1) for n in language_id.GRAMS) + 1
+    assert 0 <= buckets.min() and buckets.max() < language_id.BUCKETS
+    assert len(set(language_id.hashed([f"w{i}" for i in range(3000)])[0])) > 2000
+
+
 SYLLABLES = {"en": ["the", "ing", "and", "th", "wh"], "fr": ["eau", "que", "ou", "é", "les"], "de": ["sch", "und", "ein", "ü", "ich"]}
 
 
