@@ -215,7 +215,11 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """One document of each class: the least id (then the least text digest). Of equal rows one stays."""
     marks = kept_whole(fingerprints(docs, id_col, text_col))
-    named = marks.join(_classes(marks, hot).select("fp", "root"), "fp")
+    return first_of_each(docs, marks.join(_classes(marks, hot).select("fp", "root"), "fp"), id_col, text_col)
+
+
+def first_of_each(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of `docs` that come first in their class, by (root, id, digest) of every row."""
     alike = named.groupBy("root", "id", "digest").agg(F.count(F.lit(1)).alias("n"))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "digest", "n")).alias("k")
     keepers = kept_whole(alike.groupBy("root").agg(first).select("k.id", "k.digest", "k.n"))
