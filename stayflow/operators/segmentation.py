@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Model
 from pyspark.ml.functions import vector_to_array
@@ -24,9 +25,6 @@ from stayflow.operators.passes import labelling_scores, squared_gaps, summed, ve
 # Fixed order: ties between covariance types go to the earlier one.
 COVARIANCE_TYPES = ("full", "tied", "diag", "spherical")
 
-#: Rows, the first in hash order, from which starting centers are drawn; all rows take part in every iteration.
-SEED_ROWS = 5000
-
 KMEANS_METRICS = "k int, inertia double, silhouette double, davies_bouldin double, silhouette_metric string"
 
 
@@ -58,24 +56,63 @@ class CentroidModel(Model, DefaultParamsReadable, DefaultParamsWritable):
         return df.withColumn(self.getOrDefault(self.predictionCol), (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int"))
 
 
-def starting_centers(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """k-means++ on the sample; copies of chosen points cannot be drawn again while others are left."""
-    rng = np.random.default_rng(seed)
-    chosen = [sample[rng.integers(len(sample))]]
-    gap = squared_gaps(sample, np.array(chosen))[:, 0]
-    while len(chosen) < k:
-        total = gap.sum()
-        chosen.append(sample[rng.choice(len(sample), p=gap / total) if total > 0 else rng.integers(len(sample))])
-        gap = np.minimum(gap, squared_gaps(sample, np.array(chosen[-1:]))[:, 0])
-    return np.array(chosen)
+def starting_centers(rows: DataFrame, tasks: list[tuple[int, int]]) -> dict[tuple[int, int], np.ndarray]:
+    """k-means++ over all rows for each (k, seed); one scan draws the next center of every task that still needs one.
+
+    Every value of x that lies away from the chosen centers draws an exponential time by its hash, over its squared gap
+    times its number of copies; the least one is the next center, which is a draw with those weights. Tasks of one seed
+    share their draws. Copies of chosen points are drawn again only when no other point is left.
+    """
+    values = rows.groupBy("x").agg(F.count(F.lit(1)).alias("copies"), F.xxhash64("x").alias("h"))
+    with iteration_ready(values) as counted:
+        most = {s: max(k for k, other in tasks if other == s) for _, s in tasks}
+        chosen: dict[int, list[np.ndarray]] = {s: [] for s in most}
+        for step in range(max(most.values())):
+            live = {s: np.array(chosen[s]) for s in most if step < most[s]}
+            for s, x in _drawn(counted, live, step).items():
+                chosen[s].append(x)
+            for s in live:
+                if len(chosen[s]) <= step:  # every point is a center already
+                    chosen[s].append(chosen[s][step % len(set(map(tuple, chosen[s])))])
+    return {(k, s): np.array(chosen[s][:k]) for k, s in tasks}
+
+
+def _drawn(counted: DataFrame, chosen: dict[int, np.ndarray], step: int) -> dict[int, np.ndarray]:
+    """seed -> one drawn x, from rows of (x, copies, h); seeds for which every x is chosen are left out."""
+
+    def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, tuple] = {}
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, n, h = np.stack(batch["x"].to_numpy()).astype(float), batch["copies"].to_numpy(float), batch["h"].to_numpy().view(np.uint64)
+            for s, centers in chosen.items():
+                # differences rather than the expanded square: a chosen point is at exactly zero
+                weight = n if not len(centers) else n * np.min([((x - c) ** 2).sum(axis=1) for c in centers], axis=0)
+                z = h ^ np.random.SeedSequence([abs(s), step]).generate_state(1, np.uint64)[0]
+                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+                u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) + 0.5
+                time = np.where(weight > 0, -np.log(u / 2.0**53) / np.where(weight > 0, weight, 1.0), np.inf)
+                at = int(time.argmin())
+                if np.isfinite(time[at]) and (s not in best or time[at] < best[s][0]):
+                    best[s] = (float(time[at]), x[at].tolist())
+        if best:
+            yield pd.DataFrame({"seed": list(best), "time": [b[0] for b in best.values()], "x": [b[1] for b in best.values()]})
+
+    found = counted.mapInPandas(least, "seed long, time double, x array<double>")
+    found = found.groupBy("seed").agg(F.min_by("x", F.struct("time", "x")).alias("x"))
+    return {r["seed"]: np.array(r["x"]) for r in found.collect()}
 
 
 def kmeans_fits(rows: DataFrame, tasks: list[tuple[int, int]], max_iter: int = 300, tol: float = 1e-4) -> dict[tuple[int, int], tuple[np.ndarray, float]]:
     """(centers, cost) of each (k, seed). `rows` has one array column `x`; one scan an iteration serves all fits that still move."""
-    sample = np.array([r["x"] for r in rows.orderBy(F.xxhash64("x")).limit(SEED_ROWS).collect()], dtype=float)
-    d = sample.shape[1]
-    centers = {t: starting_centers(sample, *t) for t in tasks}
-    still = tol * sample.var(axis=0).mean()
+    centers = starting_centers(rows, tasks)
+    d = len(next(iter(centers.values()))[0])
+    middle = summed(rows, lambda x: np.append(x.sum(axis=0), len(x)))
+    middle = middle[:-1] / middle[-1]
+    spread = summed(rows, lambda x: np.append(((x - middle) ** 2).sum(axis=0), len(x)))
+    still = tol * (spread[:-1] / spread[-1]).mean()
     cost: dict[tuple[int, int], float] = {}
     live = list(dict.fromkeys(tasks))
     for step in range(max_iter + 1):

@@ -224,3 +224,16 @@ def test_pca_is_centred_and_matches_numpy(spark):
         v = vt[j] * np.sign(vt[j][np.abs(vt[j]).argmax()])
         assert np.allclose(got[:, j], (x - x.mean(axis=0)) @ v)
     assert np.allclose(ratios, (s**2 / (s**2).sum())[:2])
+
+
+def test_starts_are_drawn_over_all_rows_when_copies_stand_together(spark):
+    from stayflow.operators.segmentation import starting_centers
+
+    points = spark.range(6).selectExpr("array(cast(id * 10 as double), cast(id * id as double)) AS features")
+    rows = points.crossJoin(spark.range(5001)).select(F.col("features").alias("x"))
+    starts = starting_centers(rows, [(6, s) for s in range(3)] + [(3, 0), (8, 1)])
+    for s in (0, 2):
+        assert len({tuple(c) for c in starts[6, s]}) == 6
+    assert len({tuple(c) for c in starts[8, 1]}) == 6 and len(starts[8, 1]) == 8
+    assert (starts[3, 0] == starts[6, 0][:3]).all()
+    assert fit_kmeans(rows.withColumnRenamed("x", "features"), 6, restarts=1).training_cost == pytest.approx(0, abs=1e-6)
