@@ -3,9 +3,9 @@
 The hash of every line is taken; of each window of `run` lines the rightmost least hash is its fingerprint. Two equal
 runs of that length have equal windows, hence equal fingerprints at equal places: a run is found for certain.
 Fingerprints with a single position are dropped by a grouped minimum and maximum. The positions that remain are
-joined, and their windows compared on full content against the earliest window of that content, which leaves one
-row a window instead of one a pair. Matches that go on line by line with the same source extend each other, both
-ways, to whole runs. Of each run the earliest copy stays; later ones are deleted.
+a filter only: every window that has such a fingerprint is grouped by the digest of its content, and the earliest of a
+group is the source of the others, which leaves one row a window instead of one a pair. Windows that follow each
+other with the same source are one run; no match is extended by comparing lines. Of each run the earliest copy stays; later ones are deleted.
 
 A line is thus deleted if and only if it lies in `run` or more consecutive lines that occur earlier, in order of
 document id and line. Lines are compared with white space collapsed; blank lines count as no lines and stay.
