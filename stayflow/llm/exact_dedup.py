@@ -25,8 +25,8 @@ from stayflow.functions.columns import q
 from stayflow.llm.common import BLANK_RUN, kept_whole, over_salts, salt_of
 from stayflow.session import shared_path
 
-#: Input bytes of one micro-batch.
-BATCH_BYTES = 256 << 30
+#: Input bytes of one micro-batch; 30 GB make several.
+BATCH_BYTES = 4 << 30
 #: Copies of one text meet in this many tasks, not in one.
 SALTS = 32
 STATE = {

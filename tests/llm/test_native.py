@@ -202,3 +202,14 @@ def test_line_dedup_of_hostile_rows(spark):
     assert Counter((r["doc_id"], r["text"] is None) for r in rows) == Counter((e[0], e[1] is None) for e in EDGES)
     assert {r["doc_id"]: r["n_deleted"] for r in rows if r["n_deleted"]} == {2: 3}
     assert line_dedup.dedup_lines(no_docs(spark)).count() == 0
+
+
+def test_exact_dedup_in_many_batches_looks_digests_up_in_state(spark):
+    from stayflow.session import shared_path
+
+    docs = spark.createDataFrame([(i, f"text {i % 7}", None, None, None) for i in range(40)], SCHEMA).repartition(6)
+    path, folder = stored(spark, docs), shared_path(spark, "many-batches")
+    got = exact_dedup.dedup_exact(spark, path, folder=folder, batch_bytes=1)
+    assert exact_dedup.BATCH_BYTES * 4 <= 30 * 10**9
+    assert spark.read.parquet(f"{folder}/ledger").where("batch >= 0").select("batch").distinct().count() == 6
+    assert sorted(map(str, got.collect())) == sorted(map(str, exact_dedup.dedup_exact(spark, path, batch_bytes=1 << 40).collect()))
