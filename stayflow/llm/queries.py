@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayflow.llm import decontaminate, exact_dedup, language_id, line_dedup, mixing, quality, sharding, simhash, substring_dedup, token_counts
+from stayflow.llm import (
+    decontaminate, exact_dedup, language_id, line_dedup, mixing, quality, resample, sharding, simhash, substring_dedup, token_counts,
+)
 from stayflow.llm.common import documents
 from stayflow.llm.sql import ORACLE  # noqa: F401  the entry module reads it here
 
@@ -73,6 +75,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return done.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_line_dedup": op2_line_dedup,
@@ -84,4 +91,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
+    "op11_resample": op11_resample,
 }

@@ -81,3 +81,35 @@ SELECT d.doc_id, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(r
   coalesce(array_to_string(kept, ','), '') AS kept_in, CASE WHEN d.text IS NULL THEN NULL ELSE sha256(coalesce(clean, '')) END AS clean_sha256
 FROM documents d LEFT JOIN c USING (doc_id)
 """
+
+#: crc32 of the UTF-8 bytes of `{0}` beside the table `t`, which is made bit by bit: one step a byte.
+CRC_TABLE = """crc_table AS (
+  SELECT list(list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t
+  FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i)
+)"""
+CRC = """xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(CAST(strlen({0}) AS BIGINT)), lambda i: CAST('0x' || hex(encode({0}))[2 * i + 1:2 * i + 2] AS BIGINT))),
+    lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])))"""
+
+ORACLE["op11_resample"] = r"""
+WITH """ + CRC_TABLE + r""", x AS (
+  SELECT doc_id, false AS goal, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
+  UNION ALL
+  SELECT NULL, true, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark
+), v AS (SELECT word, """ + CRC.format("word") + r""" % 10000 AS bucket FROM (SELECT DISTINCT word FROM x), crc_table),
+f AS (SELECT doc_id, goal, bucket FROM x JOIN v USING (word)),
+c AS (SELECT bucket, count(*) FILTER (NOT goal) AS s, count(*) FILTER (goal) AS t FROM f GROUP BY bucket),
+a AS (SELECT CAST(sum(s) AS DOUBLE) AS big_s, CAST(sum(t) AS DOUBLE) AS big_t FROM c),
+g AS (SELECT bucket, CAST(floor(1000 * ln((t + 1.0::DOUBLE) * (big_s + 10000) / ((s + 1.0::DOUBLE) * (big_t + 10000)))) AS BIGINT) AS gain FROM c, a),
+w AS (SELECT doc_id, count(*) AS n, sum(gain) AS weight FROM f JOIN g USING (bucket) WHERE NOT goal GROUP BY doc_id),
+z AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST('0x' || sha256('2024:' || CAST(doc_id AS VARCHAR))[1:8] AS BIGINT) AS h FROM documents LEFT JOIN w USING (doc_id)
+), o AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM z),
+r AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS rows FROM o WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * rows // 100 THEN rank END AS rank FROM o LEFT JOIN r USING (doc_id)
+"""
