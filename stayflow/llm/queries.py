@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayflow.llm import (
-    decontaminate, exact_dedup, language_id, line_dedup, mixing, quality, resample, sharding, simhash, substring_dedup, token_counts,
+    decontaminate, exact_dedup, language_id, line_dedup, mixing, quality, resample, sharding, simhash, spelling, substring_dedup, token_counts,
 )
 from stayflow.llm.common import documents
 from stayflow.llm.sql import ORACLE  # noqa: F401  the entry module reads it here
@@ -80,6 +80,10 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_line_dedup": op2_line_dedup,
@@ -92,4 +96,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
     "op11_resample": op11_resample,
+    "op12_spelling": op12_spelling,
 }

@@ -113,3 +113,27 @@ r AS (
 )
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * rows // 100 THEN rank END AS rank FROM o LEFT JOIN r USING (doc_id)
 """
+
+ORACLE["op12_spelling"] = r"""
+WITH RECURSIVE """ + CRC_TABLE + r""", x AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents
+), d AS (SELECT doc_id, run, count(*) AS n, CAST(doc_id AS VARCHAR) || ':' || run AS named FROM x WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, n, """ + CRC.format("named") + r""" AS h FROM d, crc_table),
+s AS (SELECT CASE WHEN h % 199 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM s WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+g AS (SELECT word, n, unnest(range(CAST(length(word) AS BIGINT))) AS i FROM w),
+v AS (SELECT word, n, i, word[1:i] || word[i + 2:] AS part FROM g),
+p AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM v a JOIN v b ON a.part = b.part AND a.i = b.i AND a.word <> b.word
+  UNION SELECT v.word, w.word, w.n FROM v JOIN w ON v.part = w.word
+  UNION SELECT w.word, v.word, v.n FROM v JOIN w ON v.part = w.word
+), b AS (SELECT word, near, near_n, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS k, count(*) OVER (PARTITION BY word) AS n_near FROM p),
+f AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 5 * w.n THEN b.near END AS form, CASE WHEN b.near_n >= 5 * w.n THEN b.near_n END AS form_n
+  FROM w LEFT JOIN b ON w.word = b.word AND b.k = 1
+), r AS (
+  SELECT word, word AS root, form AS next FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON r.next = f.word
+)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN r ON f.word = r.word AND r.next IS NULL
+"""
