@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayflow.llm import (
-    decontaminate, exact_dedup, language_id, line_dedup, mixing, quality, resample, sharding, simhash, spelling, substring_dedup, token_counts,
+    decontaminate, exact_dedup, language_id, line_dedup, mixing, ngram_lm, quality, resample, sharding, simhash, spelling, substring_dedup,
+    token_counts,
 )
 from stayflow.llm.common import documents
 from stayflow.llm.sql import ORACLE  # noqa: F401  the entry module reads it here
@@ -84,6 +85,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
 
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.language_scores(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_line_dedup": op2_line_dedup,
@@ -97,4 +102,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
     "op11_resample": op11_resample,
     "op12_spelling": op12_spelling,
+    "op13_language_model": op13_language_model,
 }
