@@ -283,6 +283,8 @@ def variants(
     dominance: int = DOMINANCE,
 ) -> DataFrame:
     """One row per word: n, n_near, its form (the commonest near word that dominates it), the form's n, and the root of its forms."""
+    if dominance < 2:
+        raise ValueError("a form must be commoner than its word, or forms could run in a circle")
     words = kept_whole(word_counts(docs, id_col, text_col, damage, letters, count))
     best = F.min(F.struct((-F.col("near_n")).alias("down"), F.col("near").alias("form"))).alias("best")
     near = near_words(words).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best)

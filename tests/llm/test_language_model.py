@@ -82,7 +82,7 @@ def test_whole_table_equals_brute_force(spark, monkeypatch):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     compare(rows, ngram_lm.language_scores(docs).collect())
     # many small files, packets and parts of texts change nothing
-    for name, value in (("BLOCK", 1 << 10), ("COUNTED", 500), ("CHUNK", 300), ("KNOWN", 64)):
+    for name, value in (("BLOCK", 1 << 10), ("WORDS", 1 << 11), ("COUNTED", 500), ("CHUNK", 300), ("KNOWN", 64)):
         monkeypatch.setattr(ngram_lm, name, value)
     compare(rows, ngram_lm.language_scores(docs.repartition(3)).collect())
 

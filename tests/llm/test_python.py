@@ -147,26 +147,75 @@ def test_scan_finds_windows_across_chunks(monkeypatch):
     assert windows.scan(text) == whole == (14, list(range(1, 13)), {"i"})
 
 
-def test_units_keep_their_earliest_occurrence(spark):
+def cut_by_hand(rows, ends=r"[.!?,;:](?=[\x20\x09-\x0D])|\n", least=2, run_words=25):
+    """(id, text) in rank order -> spans and text left, unit by unit."""
+    seen, out = set(), []
+    for _, text in rows:
+        if text is None:
+            out.append(([], None))
+            continue
+        edges = [0, *(m.end() for m in re.finditer(ends, text)), len(text)]
+        run, spans, flags = [], [], []
+        for s, e in zip(edges, edges[1:]):
+            words = text[s:e].translate(LOWER).encode().split()
+            if len(words) >= least:
+                key = b" ".join(words)
+                flags.append((s, e, len(words), key in seen))
+                seen.add(key)
+        for s, e, n, again in [*flags, (0, 0, 0, False)]:
+            if again:
+                run.append((s, e, n))
+            else:
+                if run and sum(n for *_, n in run) >= run_words:
+                    spans.append((run[0][0], run[-1][1]))
+                run = []
+        kept, at = "", 0
+        for s, e in spans:
+            kept, at = kept + text[at:s], e
+        out.append((spans, kept + text[at:]))
+    return out
+
+
+def test_repeated_runs_of_clauses_equal_brute_force(spark):
+    rng = random.Random(8)
+    vocabulary = [rng.choice(["alpha", "Beta", "gamma", "é", "x1"]) + str(k) for k in range(60)]
+    passages = [" ".join(rng.choice(vocabulary) + rng.choice(["", "", ",", ".", "!", "\n", ";"]) for _ in range(60)) for _ in range(4)]
+    rows = []
+    for i in range(60):
+        own = lambda: " ".join(rng.choice(vocabulary) + rng.choice(["", "", "", ". ", ","]) for _ in range(rng.randint(0, 40)))
+        rows.append((i, own() + rng.choice(["", ". " + rng.choice(passages) + " ", rng.choice(passages)[:150] + ". "]) + own(), None, None, None))
+    rows += [(60, None, None, None, None), (61, "", None, None, None), (None, passages[0], None, None, None), (62, passages[0], None, None, None)]
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    for run_words in (25, 5):
+        want = {r[0]: w for r, w in zip(order, cut_by_hand([(r[0], r[1]) for r in order], run_words=run_words))}
+        got = substring_dedup.dedup_units(spark.createDataFrame(rows, SCHEMA).repartition(4), run_words=run_words).collect()
+        assert {r["doc_id"]: ([tuple(s) for s in r["removed"]], r["text"]) for r in got} == want
+        assert sum(bool(w[0]) for w in want.values()) > 10
+
+
+def test_units_of_lines_paragraphs_and_hostile_rows(spark):
     rows = [
         (2, "Shared  line of words\nown line of two\nshared line of words\nx y", None, None, None), (1, "SHARED line of words", None, None, None),
         (3, "x y\nown line of two", None, None, None), (3, "x y\nown line of two", None, None, None), (4, None, None, None, None),
     ]
-    got = {r["doc_id"]: r for r in substring_dedup.dedup_units(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {r["doc_id"]: r for r in substring_dedup.dedup_units(spark.createDataFrame(rows, SCHEMA), unit="line", min_words=3, run_words=3).collect()}
     assert got[1]["text"] == rows[1][1] and got[2]["text"] == "own line of two\nx y" and got[3]["text"] == "x y\n" and got[4]["text"] is None
     assert [tuple(s) for s in got[2]["removed"]] == [(0, 22), (38, 59)] and got[2]["kept_in"] == [1] and got[3]["kept_in"] == [2]
-    assert all(got[2]["removed"][0][k] is not None for k in (0, 1)) and got[1]["removed"] == []
-
-
-def test_units_of_paragraphs_and_hostile_rows(spark):
     rows = [(1, "a b c\nd e f\n\ng h i", None, None, None), (2, "z\n\na b c\nd e f\n\n", None, None, None)]
-    got = {r["doc_id"]: r["text"] for r in substring_dedup.dedup_units(spark.createDataFrame(rows, SCHEMA), unit="paragraph").collect()}
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.dedup_units(spark.createDataFrame(rows, SCHEMA), unit="paragraph", run_words=5).collect()}
     assert got == {1: rows[0][1], 2: "z\n\n"}
-    out = substring_dedup.dedup_units(edge_docs(spark))
+    out = substring_dedup.dedup_units(edge_docs(spark), run_words=5)
     assert out.count() == len(EDGES) and substring_dedup.dedup_units(no_docs(spark)).count() == 0
     assert {r["doc_id"] for r in out.where(F.size("removed") > 0).collect()} == {2, 9}
 
 
+def test_many_affected_documents_are_joined_by_a_shuffle(spark, monkeypatch):
+    docs = edge_docs(spark)
+    want = sorted(map(str, substring_dedup.dedup_units(docs, run_words=5).collect()))
+    monkeypatch.setattr(substring_dedup, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, substring_dedup.dedup_units(docs, run_words=5).collect())) == want
+
+
 def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer

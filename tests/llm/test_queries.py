@@ -10,8 +10,7 @@ import corpus_pipeline
 from stayflow.llm import decontaminate, simhash
 from stayflow.llm.queries import ORACLE, QUERIES
 
-from .helpers import linked
-from .helpers import simhash as simhash_by_hand
+from .test_near_copies import kept_by_hand
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,7 +54,7 @@ def test_each_stage_takes_effect(spark):
             assert all(i in ids for i, good in labels.items() if good)
         elif k == 1:
             rows = sorted((r["doc_id"], r["text"]) for r in before.collect())
-            assert ids == {rows[r][0] for r in linked([simhash_by_hand(t) for _, t in rows])}
+            assert ids == kept_by_hand(rows)[0]
         elif k == 2:
             assert decontaminate.contamination(docs, bench).where(F.size("hits") > 0).isEmpty()
             clean = decontaminate.contamination(before, bench).where(F.size("hits") == 0)
