@@ -61,25 +61,29 @@ FROM documents d JOIN c USING (doc_id)
 """
 
 ORACLE["op4_substring_dedup"] = r"""
-WITH raw AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i,
-    len(string_split(text, chr(10))) AS lines FROM documents WHERE text IS NOT NULL
-), o AS (
-  SELECT doc_id, i, line || CASE WHEN i < lines - 1 THEN chr(10) ELSE '' END AS unit,
-    coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM raw
-), n AS (
-  SELECT *, trim(regexp_replace(lower(unit), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm FROM o
+WITH cut AS (
+  SELECT doc_id, string_split(replace(regexp_replace(text, '([.!?,;:])([\x20\x09-\x0D])', '\1' || chr(1) || '\2', 'g'), chr(10), chr(10) || chr(1)), chr(1)) AS parts
+  FROM documents WHERE text IS NOT NULL
+), raw AS (SELECT doc_id, unnest(parts) AS unit, unnest(range(len(parts))) AS i FROM cut),
+n AS (
+  SELECT doc_id, i, unit, coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a,
+    trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm FROM raw
 ), k AS (
-  SELECT *, CASE WHEN len(string_split(norm, ' ')) >= 3 THEN row_number() OVER (PARTITION BY norm ORDER BY doc_id, a) ELSE 1 END AS k,
-    first_value(doc_id) OVER (PARTITION BY norm ORDER BY doc_id, a) AS keeper FROM n
+  SELECT *, len(string_split(norm, ' ')) AS words, row_number() OVER (PARTITION BY norm ORDER BY doc_id, i) > 1 AS again,
+    first_value(doc_id) OVER (PARTITION BY norm ORDER BY doc_id, i) AS keeper, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place
+  FROM n WHERE len(string_split(norm, ' ')) >= 2
+), g AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS island FROM k WHERE again),
+r AS (
+  SELECT doc_id, min(i) AS first, max(i) AS last, CAST(min(a) AS BIGINT) AS start, CAST(max(a + length(unit)) AS BIGINT) AS stop, list(DISTINCT keeper) AS keepers
+  FROM g GROUP BY doc_id, island HAVING sum(words) >= 25
+), p AS (
+  SELECT doc_id, count(*) AS n_removed, string_agg(start || '-' || stop, ',' ORDER BY start) AS removed, list_sort(list_distinct(flatten(list(keepers)))) AS kept FROM r GROUP BY doc_id
 ), c AS (
-  SELECT doc_id, count(*) FILTER (k > 1) AS n_removed,
-    string_agg(CAST(CAST(a AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(a AS BIGINT) + length(unit) AS VARCHAR), ',' ORDER BY a) FILTER (k > 1) AS removed,
-    string_agg(unit, '' ORDER BY a, i) FILTER (k = 1) AS clean, list_sort(list_distinct(list(keeper) FILTER (k > 1))) AS kept FROM k GROUP BY doc_id
+  SELECT n.doc_id, coalesce(string_agg(unit, '' ORDER BY i) FILTER (r.doc_id IS NULL), '') AS clean
+  FROM n LEFT JOIN r ON n.doc_id = r.doc_id AND i BETWEEN r.first AND r.last GROUP BY n.doc_id
 )
-SELECT d.doc_id, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(removed, '') AS removed,
-  coalesce(array_to_string(kept, ','), '') AS kept_in, CASE WHEN d.text IS NULL THEN NULL ELSE sha256(coalesce(clean, '')) END AS clean_sha256
-FROM documents d LEFT JOIN c USING (doc_id)
+SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, coalesce(array_to_string(kept, ','), '') AS kept_in, sha256(clean) AS clean_sha256
+FROM documents d LEFT JOIN p USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
 #: crc32 of the UTF-8 bytes of `{0}` beside the table `t`, which is made bit by bit: one step a byte.
