@@ -14,7 +14,6 @@ together as arrays, for a batch of rows at a time.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -26,6 +25,7 @@ from pyspark.sql import types as T
 
 from stayflow.functions.columns import half_even, q
 from stayflow.functions.rules import impact, risk_tier
+from stayflow.operators.boosting import BoostedTreesModel
 from stayflow.operators.distances import as_double_array
 from stayflow.session import removed, shared_path
 
@@ -35,11 +35,21 @@ ROW_CHUNK, LEAF_CHUNK = 256, 512
 # ---------------------------------------------------------------- tree values
 
 
-def ensemble_leaves(model: Model) -> dict[int, dict[str, np.ndarray]]:
-    """Leaves by number of path features: feature index, interval (lo, hi], cover share and value.
+def _stored_trees(model: Model) -> list[dict[int, tuple]]:
+    """Nodes by id: (feature, cut, left, right, cover, value), the last two children None at a leaf; values are scaled.
 
-    The nodes come from the saved model, whose size is fixed by trees and depth, not by the data.
+    MLlib's nodes come from the saved model, whose size is fixed by trees and depth, not by the data.
     """
+    if isinstance(model, BoostedTreesModel):
+        learned = model.learned
+        trees = [{0: (0, 0.0, None, None, 1.0, learned["base"])}]  # the base margin is a tree of one leaf
+        for t in learned["trees"]:
+            columns = zip(t["feature"], t["cut"], t["left"], t["right"], t["cover"], t["value"])
+            trees.append({
+                k: (f, cut, None, None, c, v) if left == k else (f, cut, left, right, c, v)
+                for k, (f, cut, left, right, c, v) in enumerate(columns)
+            })
+        return trees
     spark = SparkSession.active()
     path = shared_path(spark, "trees")
     model.write().overwrite().save(path)
@@ -49,25 +59,35 @@ def ensemble_leaves(model: Model) -> dict[int, dict[str, np.ndarray]]:
         removed(spark, path)
     boosted = isinstance(model, GBTClassificationModel)
     scale = list(model.treeWeights) if boosted else [1.0 / model.getNumTrees] * model.getNumTrees
-    trees: dict[int, dict[int, Any]] = {}
+    trees = [{} for _ in scale]
     for r in rows:
-        trees.setdefault(r["treeID"], {})[r["nodeData"]["id"]] = r["nodeData"]
+        node, stats = r["nodeData"], r["nodeData"]["impurityStats"]
+        cover = stats[0] if boosted else sum(stats)
+        value = (node["prediction"] if boosted else stats[1] / sum(stats)) * scale[r["treeID"]]
+        if node["leftChild"] < 0:
+            trees[r["treeID"]][node["id"]] = (0, 0.0, None, None, cover, value)
+        else:
+            split = node["split"]
+            trees[r["treeID"]][node["id"]] = (
+                split["featureIndex"], split["leftCategoriesOrThreshold"][0], node["leftChild"], node["rightChild"], cover, value,
+            )
+    return trees
+
+
+def ensemble_leaves(model: Model) -> dict[int, dict[str, np.ndarray]]:
+    """Leaves by number of path features: feature index, interval (lo, hi], cover share and value."""
     groups: dict[int, list[tuple]] = {}
-    for tree_id, nodes in trees.items():
+    for nodes in _stored_trees(model):
         stack = [(0, {})]
         while stack:
             node_id, box = stack.pop()
-            node = nodes[node_id]
-            if node["leftChild"] < 0:
-                stats = node["impurityStats"]
-                value = node["prediction"] if boosted else stats[1] / sum(stats)
-                groups.setdefault(len(box), []).append((value * scale[tree_id], box))
+            f, cut, left, right, cover, value = nodes[node_id]
+            if left is None:
+                groups.setdefault(len(box), []).append((value, box))
                 continue
-            f, cut = node["split"]["featureIndex"], node["split"]["leftCategoriesOrThreshold"][0]
-            cover = _cover(node, boosted)
-            for child, side in ((node["leftChild"], 0), (node["rightChild"], 1)):
+            for child, side in ((left, 0), (right, 1)):
                 lo, hi, z = box.get(f, (-np.inf, np.inf, 1.0))
-                z *= _cover(nodes[child], boosted) / cover
+                z *= nodes[child][4] / cover
                 part = (lo, min(hi, cut), z) if side == 0 else (max(lo, cut), hi, z)
                 stack.append((child, {**box, f: part}))
     out = {}
@@ -82,10 +102,6 @@ def ensemble_leaves(model: Model) -> dict[int, dict[str, np.ndarray]]:
     return out
 
 
-def _cover(node, boosted: bool) -> float:
-    return node["impurityStats"][0] if boosted else sum(node["impurityStats"])
-
-
 def base_value(leaves: dict[int, dict[str, np.ndarray]]) -> float:
     """Expected output: every leaf weighted by its cover share."""
     return float(sum((g["value"] * g["share"].prod(axis=1)).sum() for g in leaves.values()))
@@ -140,7 +156,7 @@ def tree_attributions(
 
 
 def explains_trees(model: Model) -> bool:
-    return isinstance(model, (GBTClassificationModel, RandomForestClassificationModel))
+    return isinstance(model, (BoostedTreesModel, GBTClassificationModel, RandomForestClassificationModel))
 
 
 # ---------------------------------------------------------------- z-score fallback

@@ -31,7 +31,6 @@ from stayflow.streaming.scoring import start_scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-GBT_ROUNDS = 20
 
 
 def query(fn: Query) -> Query:
@@ -495,16 +494,15 @@ def lr_rf_metrics(spark, sf):
 
 @query
 def gbt_metrics(spark, sf):
-    """Fewer rounds than the job's default of 200: MLlib's boosting takes about a second a round here (README)."""
     train, test = split_tables(spark, sf)
-    reported, models = jobs.train_and_evaluate_gbdt(train, test, rounds=GBT_ROUNDS)
+    reported, models = jobs.train_and_evaluate_gbdt(train, test)
     return _holdout_facts(spark, reported, list(models.values()), test)
 
 
 @query
 def gbt_smote_metrics(spark, sf):
     train, test = split_tables(spark, sf)
-    reported, models = jobs.train_and_evaluate_gbdt(train, test, use_smote=True, rounds=GBT_ROUNDS)
+    reported, models = jobs.train_and_evaluate_gbdt(train, test, use_smote=True)
     return _holdout_facts(spark, reported, list(models.values()), test)
 
 
@@ -517,11 +515,9 @@ def mlp_metrics(spark, sf):
 
 @query
 def tune_champion(spark, sf):
-    """The search on reduced spaces: the full ones hold 75 boosted fits of 100 to 250 rounds, hours on MLlib (README)."""
-    gbt_space = {"stepSize": [0.05, 0.1], "maxIter": [2], "maxDepth": [2, 3], "minInstancesPerNode": [10], "minInfoGain": [0.0]}
-    forest_space = {"numTrees": [5], "maxDepth": [3, 4], "minInstancesPerNode": [1, 2], "featureSubsetStrategy": ["sqrt"]}
+    """15 draws from each of the full spaces."""
     train, test = split_tables(spark, sf)
-    reported, info = jobs.tune_and_evaluate_all(train, test, n_trials=2, gbt_space=gbt_space, forest_space=forest_space)
+    reported, info = jobs.tune_and_evaluate_all(train, test)
     won = reported.where("champion").drop("champion")
     facts = _holdout_facts(spark, won, [info["pipeline"]], test)
     higher = reported.agg((F.max("cv_pr_auc") == F.max(F.when(F.col("champion"), F.col("cv_pr_auc")))).alias("best_by_cv")).first()[0]

@@ -252,7 +252,7 @@ def test_tuning_names_a_champion(spark, planted, tmp_path):
     train, test = planted
     metrics, info = jobs.tune_and_evaluate_all(
         train, test, 1, str(tmp_path),
-        {"stepSize": [0.1], "maxIter": [2], "maxDepth": [3], "minInstancesPerNode": [10], "minInfoGain": [0.0]},
+        {"learning_rate": [0.1], "max_iter": [4], "max_depth": [3], "min_samples_leaf": [10], "l2_regularization": [1.0]},
         {"numTrees": [5], "maxDepth": [4], "minInstancesPerNode": [1], "featureSubsetStrategy": ["sqrt"]},
     )
     rows = metrics.collect()
