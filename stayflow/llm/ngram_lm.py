@@ -4,7 +4,7 @@ Three passes. Words are counted; their 64-bit hashes are stored as sorted arrays
 place in them. Pairs of numbers are counted: tasks sum up what they read, pairs are dealt by their place in the order
 of all pairs (so that a word that follows or precedes everything spreads over many tasks), every task adds up one stretch and
 stores it as sorted arrays. What a pair tells about its words (how often the first goes on, with how many words; how many words
-the second follows) is summed by number and stored as arrays again. Then texts are scored: numbers and pair counts are
+the second follows) is summed by number and stored as arrays again, one entry a number, so that a number is its place. Then texts are scored: numbers and pair counts are
 found by bisection in the mapped arrays, whose pages the workers of a machine share. The driver holds totals and file names.
 
 P(w | v) = max(c(vw) - D, 0) / c(v) + g(v) P(w), where P(w) is the same over the number of words that w follows, and
@@ -47,7 +47,8 @@ FOLDS, HELD_OUT = 7, 2
 END = b" "
 #: Entries of one array file, distinct words or pairs that a task holds, and bytes of text taken at a time.
 BLOCK, COUNTED, CHUNK = 1 << 20, 1 << 20, 1 << 21
-KNOWN = 1 << 19
+#: Entries of a file of words or of their sums, and words a worker keeps.
+WORDS, KNOWN = 1 << 22, 1 << 19
 LEAST_DISCOUNT = 0.1
 
 
@@ -126,24 +127,27 @@ class Blocks:
         return self.open[at, part]
 
     def places(self, wanted: np.ndarray) -> np.ndarray:
-        """Place of every key among all, -1 if it is not there; `wanted` should be sorted, so that pages are read in order."""
+        """Place of every key among all, -1 if it is not there; `wanted` is sorted, so pages are read in order."""
         out = np.full(len(wanted), -1, np.int64)
-        block = np.searchsorted(self.first, wanted, "right") - 1
-        for at in np.unique(block[block >= 0]).tolist():
-            mine = np.flatnonzero(block == at)
-            keys = self.array(at, "keys")
-            found = np.searchsorted(keys, wanted[mine])
-            there = keys[np.minimum(found, len(keys) - 1)] == wanted[mine]
-            out[mine[there]] = found[there] + self.offset[at]
+        edges = [*np.searchsorted(wanted, self.first).tolist(), len(wanted)]
+        for at, (lo, hi) in enumerate(zip(edges, edges[1:])):
+            if lo < hi:
+                keys, mine = self.array(at, "keys"), wanted[lo:hi]
+                found = np.searchsorted(keys, mine)
+                there = keys[np.minimum(found, len(keys) - 1)] == mine
+                out[lo:hi][there] = found[there] + self.offset[at]
         return out
 
     def at(self, places: np.ndarray, part: str) -> np.ndarray:
-        """Values at places, which must be there."""
+        """Values at places, zero at -1."""
         out = np.zeros(len(places), self.values[part])
-        block = np.searchsorted(self.offset, places, "right") - 1
-        for at in np.unique(block).tolist():
-            mine = np.flatnonzero(block == at)
-            out[mine] = self.array(at, part)[places[mine] - self.offset[at]]
+        for at in range(len(self.rows)):
+            lo, hi = int(self.offset[at]), int(self.offset[at + 1])
+            mine = np.flatnonzero((places >= lo) & (places < hi))
+            if len(mine) == len(places):
+                return self.array(at, part)[places - lo]
+            if len(mine):
+                out[mine] = self.array(at, part)[places[mine] - lo]
         return out
 
 
@@ -200,7 +204,7 @@ class Numbers:
         self.words, self.known = words, {}
 
     def __call__(self, found: list[bytes]) -> np.ndarray:
-        new = {w for w in found if w not in self.known}
+        new = set(found).difference(self.known)
         if len(self.known) + len(new) > KNOWN:
             self.known = {}
             new = set(found)
@@ -244,7 +248,7 @@ def _word_blocks(spark: SparkSession, train: DataFrame, folder: str) -> tuple[Bl
 
     counts = kept_whole(train.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     v, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    bits = max(0, int(np.ceil(np.log2(max(1, v) / BLOCK))))
+    bits = max(0, int(np.ceil(np.log2(max(1, v) / WORDS))))
     # hashes are even over their range: its stretches are blocks of about one size
     block = F.shiftright(F.col("key"), 64 - bits) + (1 << bits >> 1) if bits else F.lit(0)
     writer = Writer(folder, "word", {"n": "i8"})
@@ -367,7 +371,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     made = _manifest(of.select("block", F.col("total").alias("first"), F.col("follows").alias("entries")))
     exactly = of.agg(*[F.sum(c) for c in ("n1", "n2", "n3", "n4")]).first()
     by_word = sums.where("number is not null").groupBy(F.col("number").alias("key")).agg(*[F.sum(c).alias(c) for c in _OF_WORD])
-    by_word = kept_whole(by_word.withColumn("block", F.expr(f"key div {BLOCK}")))
+    by_word = kept_whole(by_word.withColumn("block", F.expr(f"key div {WORDS}")))
     seen = by_word.agg(*[F.count_if(F.col("follows") == k) for k in (1, 2, 3, 4)], F.count_if(F.col("follows") >= 3), F.sum("follows")).first()
     sum_writer = Writer(folder, "sum", _OF_WORD)
 
@@ -376,7 +380,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
             out = sum_writer.write(k, c["key"], c)
             yield pa.RecordBatch.from_pylist([{"block": k, "first": int(out["keys"][0]), "entries": len(out["keys"])}], _MANIFEST)
 
-    of_words = _manifest(_dealt(by_word, v // BLOCK + 1).mapInArrow(write_sums, "block long, first long, entries long"))
+    of_words = _manifest(_dealt(by_word, v // WORDS + 1).mapInArrow(write_sums, "block long, first long, entries long"))
     low = _discounts(np.array(seen[:4]))
     back = (low[0] * seen[0] + low[1] * seen[1] + low[2] * seen[4]) / seen[5]
     return {
@@ -413,32 +417,23 @@ class Scorer:
         self.number, self.v, self.model = Numbers(self.words), int(self.words.offset[-1]), model
         self.high, self.low = (np.array([0.0, *model[k]]) for k in ("high", "low"))
 
-    def _sum(self, number: np.ndarray, part: str) -> np.ndarray:
-        """The sum of every number that has one, else zero; each asked for once."""
-        asked, at = np.unique(number, return_inverse=True)
-        places = self.sums.places(asked)
-        out = np.zeros(len(asked))
-        out[places >= 0] = self.sums.at(places[places >= 0], part)
-        return out[at]
-
     def alone(self, second: np.ndarray) -> np.ndarray:
         """P(w) of numbers, -1 for an unknown word."""
-        n = self._sum(second, "follows")
-        return np.maximum(n - self.low[np.minimum(n, 3).astype(int)], 0) / max(1, self.model["distinct"]) + self.model["floor"]
+        n = self.sums.at(second, "follows")
+        return np.maximum(n - self.low[np.minimum(n, 3)], 0) / max(1, self.model["distinct"]) + self.model["floor"]
 
     def after(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """P(w | v) of numbers; `first` is the number of words for the beginning of a text."""
         p = self.alone(second)
-        total = self._sum(first, "total")
+        total = self.sums.at(first, "total")
         seen = np.flatnonzero(total > 0)
         first, second, total = first[seen], second[seen], total[seen]
-        back = sum(self.high[k] * self._sum(first, f"n{k}") for k in (1, 2, 3)) / total
-        keys, at = np.unique(np.where(second >= 0, first * self.v + second, -1), return_inverse=True)
-        places = np.where(keys >= 0, self.pairs.places(keys), -1)
-        n = np.zeros(len(keys))
-        n[places >= 0] = self.pairs.at(places[places >= 0], "n")
-        n = n[at]
-        p[seen] = np.maximum(n - self.high[np.minimum(n, 3).astype(int)], 0) / total + back * p[seen]
+        back = sum(self.high[k] * self.sums.at(first, f"n{k}") for k in (1, 2, 3)) / total
+        keys = np.where(second >= 0, first * self.v + second, -1)
+        order = np.argsort(keys)
+        n = np.zeros(len(keys), np.int64)
+        n[order] = self.pairs.at(self.pairs.places(keys[order]), "n")
+        p[seen] = np.maximum(n - self.high[np.minimum(n, 3)], 0) / total + back * p[seen]
         return p
 
     def texts(self, texts: list[str | None]) -> np.ndarray:
@@ -452,10 +447,7 @@ class Scorer:
             who = np.repeat([h[0] for h in held], [len(h[2]) for h in held])
             second = np.concatenate([h[2] for h in held])
             first = np.concatenate([np.concatenate(([h[1]], h[2][:-1])) for h in held])
-            asked, at = np.unique(second, return_inverse=True)
-            c = np.zeros(len(asked))
-            c[asked >= 0] = self.words.at(asked[asked >= 0], "n")
-            base = np.log10((c + 1) / (total + self.v + 1))[at] if total else np.zeros(len(second))
+            base = np.log10((self.words.at(second, "n") + 1) / (total + self.v + 1)) if total else np.zeros(len(second))
             score = np.log10(self.after(first, second)) if total else base
             for column, value in ((0, np.ones(len(who))), (1, (second >= 0).astype(float)), (2, base), (3, score)):
                 out[:, column] += np.bincount(who, value, len(texts))
