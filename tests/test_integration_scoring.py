@@ -155,7 +155,7 @@ def test_models_score_after_rows_were_observed(spark, tmp_path):
     assert observed.count() <= before.get["rows"]
     rows = churn(spark, SF_SMALL).persist()
     features, _, stage = prepare_churn_features(rows)
-    space = {"numTrees": [3], "maxDepth": [3], "minInstancesPerNode": [1], "featureSubsetStrategy": ["sqrt"]}
+    space = {"n_estimators": [3], "max_depth": [3], "min_samples_split": [2], "min_samples_leaf": [1], "max_features": ["sqrt"]}
     tuned = tune_random_forest(features.select("CustomerID", "Churn", "features"), n_trials=1, space=space)[0]
     for model in (train_logistic_regression(features), train_random_forest(features, trees=3, depth=3), tuned):
         pipeline = PipelineModel(stages=[stage, model])

@@ -242,7 +242,7 @@ def test_perceptron(spark, planted):
 def test_draws_and_evaluator(spark):
     draws = draw_params(GBT_SPACE, 20, 42)
     assert len(draws) == 20 and draws == draw_params(GBT_SPACE, 20, 42)
-    assert len(draw_params(FOREST_SPACE, 10_000, 1)) == 54
+    assert len(draw_params(FOREST_SPACE, 10_000, 1)) == 162
     assert len({str(d) for d in draws}) == 20 and all(set(d) == set(GBT_SPACE) for d in draws)
     assert len(draw_params(FOREST_SPACE, 3, 1)) == 3
     assert AveragePrecisionEvaluator().isLargerBetter()
@@ -253,12 +253,12 @@ def test_tuning_names_a_champion(spark, planted, tmp_path):
     metrics, info = jobs.tune_and_evaluate_all(
         train, test, 1, str(tmp_path),
         {"learning_rate": [0.1], "max_iter": [4], "max_depth": [3], "min_samples_leaf": [10], "l2_regularization": [1.0]},
-        {"numTrees": [5], "maxDepth": [4], "minInstancesPerNode": [1], "featureSubsetStrategy": ["sqrt"]},
+        {"n_estimators": [5], "max_depth": [4], "min_samples_split": [2], "min_samples_leaf": [1], "max_features": ["sqrt"]},
     )
     rows = metrics.collect()
     assert [r["champion"] for r in rows].count(True) == 1
     assert max(rows, key=lambda r: r["cv_pr_auc"])["champion"]
     report = load_report(spark, str(tmp_path / "hyperparameter_tuning_results.json")).first()
     assert report["champion_model"] == info["champion_model"]
-    assert report["best_params"]["RandomForest"]["numTrees"] == "5"
+    assert report["best_params"]["RandomForest"]["n_estimators"] == "5"
     assert load_preferred_model(spark, str(tmp_path))[0] == "tuned_champion_model"
