@@ -159,7 +159,7 @@ def test_state_goes_on_where_it_stopped(spark):
     assert {(r["n"], r["first"]["id"]) for r in run().collect()} == {(3, 1), (2, 9), (2, 10), (2, 11), (1, 2)}
 
 
-def lines_by_hand(rows, run):
+def lines_by_hand(rows, run, words=50):
     """Deleted line numbers by comparing every run with every earlier one."""
     rows = sorted({(r[0] is None, r[0] or 0, r[1] or "") for r in rows})
     seen, deleted = set(), {}
@@ -167,11 +167,14 @@ def lines_by_hand(rows, run):
         norm = [(k, re.sub(BLANK, " ", x).strip(" ")) for k, x in enumerate(text.split("\n"))]
         norm = [(k, x) for k, x in norm if x]
         gone = set()
-        for at in range(len(norm) - run + 1):
-            part = tuple(x for _, x in norm[at : at + run])
-            if part in seen:
-                gone |= {k for k, _ in norm[at : at + run]}
-            seen.add(part)
+        for at in range(len(norm)):
+            for size in range(1, min(run, len(norm) - at) + 1):
+                part = tuple(x for _, x in norm[at : at + size])
+                if size < run and sum(len(x.split(" ")) for x in part) < words:
+                    continue
+                if part in seen:
+                    gone |= {k for k, _ in norm[at : at + size]}
+                seen.add(part)
         deleted[(None if no_id else i, text)] = sorted(gone)
     return deleted
 
@@ -189,6 +192,19 @@ def test_winnowing_deletes_just_the_later_runs(spark, seed, run):
         assert r["text"] == "\n".join(x for k, x in enumerate(r["original"].split("\n")) if k not in gone)
 
 
+def test_short_runs_of_many_words_are_deleted_too(spark, monkeypatch):
+    rng = random.Random(11)
+    pool = [" ".join(f"w{i}" for _ in range(n)) for i, n in enumerate((2, 3, 4, 6, 9, 12))]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 6))), None, None, None) for i in range(80)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = lines_by_hand(rows, 4, 10)
+    for limit in (50_000, 0):
+        monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", limit)
+        got = line_dedup.dedup_lines(docs, run=4, words=10).join(docs.selectExpr("doc_id", "text AS original"), "doc_id").collect()
+        assert all(r["deleted_lines"] == want[(r["doc_id"], r["original"])] for r in got)
+    assert 20 < sum(map(bool, want.values())) < 80
+
+
 def test_runs_name_their_source_and_extend(spark):
     rows = [(1, "a\nb\nc\nd\ne\nf", None, None, None), (2, "x\nb\nc\nd\ne\ny", None, None, None)]
     got = line_dedup.repeated_runs(spark.createDataFrame(rows, SCHEMA)).collect()

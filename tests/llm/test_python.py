@@ -287,6 +287,26 @@ def test_languages_of_held_out_texts(spark):
     assert all(0 <= r["score"] <= 1 for r in odd.values())
 
 
+def test_texts_without_a_letter_have_no_language(spark):
+    model = language_id.train(prose(spark))
+    assert [language_id.predict_text(model, t) for t in ("½ ²", "Ⅷ", "①", "12 _ !", "", None)] == [("und", 0.0)] * 6
+    assert language_id.words("the½ing ①und Ⅷ the") == Counter({"the": 2, "ing": 1, "und": 1})
+
+
+def test_prediction_equals_a_plain_loop(spark):
+    docs = prose(spark)
+    model = language_id.train(docs)
+    for r in docs.where("text IS NOT NULL").collect()[:200]:
+        found = re.findall(r"[^\W\d_]+", r["text"].lower())
+        buckets = [int(b) for w in found for b in language_id.hashed([w])[0]]
+        if not buckets:
+            continue
+        z = (sum(model.logits[b].astype(float) for b in buckets) / len(buckets) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        lang, score = language_id.predict_text(model, r["text"])
+        assert lang == model.languages[int(p.argmax())] and score == pytest.approx(p.max(), abs=1e-5)
+
+
 def test_language_is_no_input_of_its_prediction(spark):
     docs = prose(spark)
     model = language_id.train(docs)
