@@ -74,6 +74,11 @@ def words(text: str | None) -> Counter[str]:
     found: Counter[str] = Counter()
     for chunk in text_chunks(text or ""):
         found.update(WORD.findall(chunk.lower()))
+    # numbers that are no digits (fractions, Roman and circled ones) are no letters: they end a word
+    for mixed in [w for w in found if not w.isalpha()]:
+        n = found.pop(mixed)
+        for part in "".join(c if c.isalpha() else " " for c in mixed).split():
+            found[part] += n
     return found
 
 
