@@ -44,11 +44,14 @@ WITH raw AS (
   FROM documents
 ), n AS (SELECT doc_id, i, line, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm FROM raw),
 f AS (SELECT doc_id, i, norm, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS p FROM n WHERE norm <> ''),
+c0 AS (SELECT *, len(regexp_extract_all(norm, '[^\x20\x09-\x0D]+')) AS n FROM f),
+l AS (SELECT doc_id, p, n, norm, lead(norm, 1) OVER d AS norm1, lead(norm, 2) OVER d AS norm2, lead(n, 1) OVER d AS n1 FROM c0 WINDOW d AS (PARTITION BY doc_id ORDER BY p)),
 w AS (
-  SELECT doc_id, p, norm || chr(10) || lead(norm, 1) OVER d || chr(10) || lead(norm, 2) OVER d AS gram
-  FROM f WINDOW d AS (PARTITION BY doc_id ORDER BY p)
-), r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY gram ORDER BY doc_id, p) AS k FROM w WHERE gram IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, p + o AS p FROM r, (SELECT unnest([0, 1, 2]) AS o) WHERE k > 1),
+  SELECT doc_id, p, 1 AS size, norm AS gram FROM l WHERE n >= 50
+  UNION ALL SELECT doc_id, p, 2, norm || chr(10) || norm1 FROM l WHERE n + n1 >= 50
+  UNION ALL SELECT doc_id, p, 3, norm || chr(10) || norm1 || chr(10) || norm2 FROM l
+), r AS (SELECT doc_id, p, size, row_number() OVER (PARTITION BY gram ORDER BY doc_id, p) AS k FROM w WHERE gram IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, p + o AS p FROM r, (SELECT unnest([0, 1, 2]) AS o) WHERE k > 1 AND o < size),
 x AS (SELECT f.doc_id, f.i FROM f JOIN g USING (doc_id, p)),
 c AS (
   SELECT n.doc_id, string_agg(n.line, chr(10) ORDER BY n.i) FILTER (x.i IS NULL) AS clean, count(*) FILTER (n.norm <> '') AS n_lines,
