@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from stayflow.functions.columns import q, squared_distance
 from stayflow.functions.rules import churn_prediction, risk_tier
 from stayflow.functions.sizing import iteration_ready
-from stayflow.operators import attribution, classifiers, distances, integration, metrics, oversampling, scaling, scoring
+from stayflow.operators import attribution, classifiers, distances, integration, metrics, neighbours, oversampling, scaling, scoring
 from stayflow.operators import segmentation, splitting
 from stayflow.operators.churn_features import ChurnFeatureEngineer, prepare_churn_features, with_derived
 from stayflow.operators.cleaning import clean_churn_data, clean_retail_data, dataset_summary, retail_retention
@@ -263,6 +263,22 @@ def knn_embeddings(spark, sf):
     return rounded(distances.knn_graph(table(spark, sf, "embeddings"), 5, "vec_id", "embedding"))
 
 
+@query
+def knn_projection(spark, sf):
+    """Approximate neighbours of every customer on the 35 scaled churn features: rows, edges a row, self-loops, repeated
+    edges, edges out of order, and whether at least nine tenths of the true neighbours' distances are met."""
+    rows = prepare_churn_features(churn(spark, sf), scale_features=True)[0].select(ID_COL, "features").persist()
+    found = neighbours.approximate_knn(rows, 5, ID_COL).withColumnRenamed("distance", "d")
+    exact = distances.knn_graph(rows, 5, ID_COL)
+    last = exact.where("rank = 5").select(F.col("src").alias("of"), F.col("distance").alias("far"))
+    order = Window.partitionBy("src").orderBy("rank")
+    return found.join(last, F.col("src") == F.col("of"), "left").withColumn("before", F.lag("d").over(order)).agg(
+        F.count_distinct("src").alias("n_rows"), F.count(F.lit(1)).alias("n_edges"), F.count_if(F.col("src") == F.col("dst")).alias("n_loops"),
+        (F.count(F.lit(1)) - F.count_distinct("src", "dst")).alias("n_repeated"), F.count_if(F.col("d") < F.col("before")).alias("n_disordered"),
+        (F.count_if(F.col("d") <= F.col("far") + 1e-9) >= 0.9 * F.count(F.lit(1))).alias("recall_reached"),
+    )
+
+
 @query
 def kmeans_grid(spark, sf):
     """Per k of the full search: customers labelled, those not at their nearest center, and whether the inertia is theirs."""

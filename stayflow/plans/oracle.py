@@ -411,6 +411,8 @@ SELECT unnest(['PC1', 'PC2', 'PC3']) AS component, (SELECT count(*) FROM embeddi
     "segmentation_job": "WITH " + RFM + """
 SELECT count(*) AS n_customers, round(avg(Recency), 4) AS Recency_mean, round(avg(Frequency), 4) AS Frequency_mean, round(avg(Monetary), 2) AS Monetary_mean,
        100.0 AS pct, 0 AS n_unnamed FROM rfm""",
+    "knn_projection": "WITH " + CHURN + """
+SELECT count(*) AS n_rows, 5 * count(*) AS n_edges, 0 AS n_loops, 0 AS n_repeated, 0 AS n_disordered, true AS recall_reached FROM churn""",
     "lr_rf_metrics": _holdout("Logistic Regression", "Random Forest"),
     "gbt_metrics": _holdout(*_GBT),
     "gbt_smote_metrics": _holdout(*_GBT),
