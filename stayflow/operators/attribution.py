@@ -7,13 +7,14 @@ that follows the path at feature j and o_j = 1 if the row itself follows it, the
     v (o_i - z_i) * integral over t in [0, 1] of  prod_{j != i} (o_j t + z_j (1 - t)) dt
 
 because the Shapley weight s!(m-1-s)!/m! is the Beta integral of t^s (1-t)^(m-1-s). The integrand is a polynomial
-of degree m-1, so Gauss-Legendre nodes give it exactly. Leaves of all trees with the same path length are handled
-together as arrays, for a batch of rows at a time.
+of degree m-1, so Gauss-Legendre nodes give it exactly. The products are carried down the tree and summed up it again, so a
+row costs a few operations a node and quadrature node, not one for every feature of every leaf's path.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,8 @@ from stayflow.operators.boosting import BoostedTreesModel
 from stayflow.operators.distances import as_double_array
 from stayflow.session import removed, shared_path
 
-ROW_CHUNK, LEAF_CHUNK = 256, 512
+#: Numbers (nodes x quadrature nodes x rows) of one tree that are walked at a time; they should stay in a core's cache.
+WALK_CELLS = 200_000
 
 
 # ---------------------------------------------------------------- tree values
@@ -107,41 +109,105 @@ def base_value(leaves: dict[int, dict[str, np.ndarray]]) -> float:
     return float(sum((g["value"] * g["share"].prod(axis=1)).sum() for g in leaves.values()))
 
 
-def tree_values(x: np.ndarray, leaves: dict[int, dict[str, np.ndarray]]) -> np.ndarray:
-    """Shapley values, rows x features."""
-    phi = np.zeros_like(x, dtype=float)
-    width = x.shape[1]
-    for m, group in leaves.items():
-        if m == 0:
+@dataclass
+class Walk:
+    """One tree for the walk: nodes level by level, the two children of a node side by side.
+
+    Per node but the root: the path's interval (lo, hi] and cover share of its feature, and the node above it that tested the
+    same feature. `when` and `unless` are the factors o t + z (1 - t) at the quadrature nodes for o = 1 and 0, `gain` and `loss` are
+    weight x (o - z) / factor.
+    """
+
+    feature: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    parent: np.ndarray
+    above: np.ndarray
+    value: np.ndarray
+    levels: list[tuple[int, int]]
+    when: np.ndarray
+    unless: np.ndarray
+    gain: np.ndarray
+    loss: np.ndarray
+
+
+def ensemble_walks(model: Model) -> list[Walk]:
+    """The trees in walking order; a tree of one leaf explains nothing and is left out."""
+    shaped, most = [], 1
+    for nodes in _stored_trees(model):
+        if nodes[0][2] is None:
             continue
-        nodes, weights = np.polynomial.legendre.leggauss((m + 1) // 2)
-        ts, ws = (nodes + 1) / 2, weights / 2
-        for a in range(0, len(group["value"]), LEAF_CHUNK):
-            part = slice(a, a + LEAF_CHUNK)
-            feature, share, value = group["feature"][part], np.maximum(group["share"][part], 1e-12), group["value"][part]
-            place = np.zeros((feature.size, width))
-            place[np.arange(feature.size), feature.ravel()] = 1.0
-            for b in range(0, len(x), ROW_CHUNK):
-                seen = x[b:b + ROW_CHUNK][:, feature]
-                follows = ((seen > group["lo"][part]) & (seen <= group["hi"][part])).astype(float)
-                total = np.zeros_like(follows)
-                for t, w in zip(ts, ws):
-                    factor = follows * t + share * (1 - t)
-                    total += w * factor.prod(axis=2, keepdims=True) / factor
-                total *= (follows - share) * value[None, :, None]
-                phi[b:b + ROW_CHUNK] += total.reshape(len(total), -1) @ place
+        rows, levels, level = [(0, -np.inf, np.inf, 1.0, 0, -1, 0.0)], [(0, 1)], [(0, 0, {})]
+        while level:
+            below = []
+            for node, place, path in level:
+                f, cut, left, right, cover, _ = nodes[node]
+                if left is None:
+                    continue
+                lo, hi, z, above = path.get(f, (-np.inf, np.inf, 1.0, -1))
+                for child, part in ((left, (lo, min(hi, cut))), (right, (max(lo, cut), hi))):
+                    share = max(z * nodes[child][4] / cover, 1e-12)
+                    at = len(rows)
+                    rows.append((f, *part, share, place, above, nodes[child][5] if nodes[child][2] is None else 0.0))
+                    below.append((child, at, {**path, f: (*part, share, at)}))
+            if below:
+                levels.append((below[0][1], len(rows)))
+            most = max([most, *(len(path) for *_, path in below)])
+            level = below
+        shaped.append((rows, levels))
+    t, w = np.polynomial.legendre.leggauss((most + 1) // 2)
+    t, w = (t + 1) / 2, w / 2
+    out = []
+    for rows, levels in shaped:
+        feature, lo, hi, z, parent, above, value = (np.array(c) for c in zip(*rows))
+        when, unless = t + z[:, None] * (1 - t), z[:, None] * (1 - t)
+        gain, loss = w * (1 - z)[:, None] / when, w * -z[:, None] / unless
+        out.append(Walk(feature, lo, hi, parent, above, value, levels, when, unless, gain, loss))
+    return out
+
+
+def tree_values(x: np.ndarray, walks: list[Walk]) -> np.ndarray:
+    """Shapley values, rows x features, in one walk down and one up each tree.
+
+    Down, every node carries the product of its path's factors; up, it gathers product x value of its leaves. The leaves below an
+    edge share the edge's own factor, so the edge's share for its feature is one sum over quadrature nodes; a feature tested
+    again below takes its place, so what is below the second test is taken back from the first.
+    """
+    phi = np.zeros_like(x, dtype=float)
+    for tree in walks:
+        n, q_ = tree.when.shape
+        place = np.zeros((n, x.shape[1]))
+        place[np.arange(1, n), tree.feature[1:]] = 1.0
+        again = np.flatnonzero(tree.above >= 0)
+        above = tree.above[again]
+        step = max(8, WALK_CELLS // (n * q_))
+        for b in range(0, len(x), step):
+            seen = x[b:b + step].T[tree.feature]
+            follows = (seen > tree.lo[:, None]) & (seen <= tree.hi[:, None])
+            factor = np.where(follows[:, None, :], tree.when[:, :, None], tree.unless[:, :, None])
+            ratio = factor.copy()
+            ratio[again] /= factor[above]
+            ratio[0] = 1.0
+            for lo, hi in tree.levels[1:]:
+                ratio[lo:hi] *= ratio[tree.parent[lo:hi]]
+            ratio *= tree.value[:, None, None]
+            for lo, hi in tree.levels[:0:-1]:
+                ratio[tree.parent[lo:hi:2]] += ratio[lo:hi:2] + ratio[lo + 1:hi:2]
+            share = _share(ratio, tree, np.arange(n), follows)
+            share[again] -= _share(ratio[again], tree, above, follows[above])
+            phi[b:b + step] += share.T @ place
     return phi
 
 
+def _share(gathered: np.ndarray, tree: Walk, nodes: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    return np.where(follows, np.einsum("nqr,nq->nr", gathered, tree.gain[nodes]), np.einsum("nqr,nq->nr", gathered, tree.loss[nodes]))
+
+
 def tree_attributions(
-    df: DataFrame, model: Model, features_col: str = "features", out_col: str = "attribution", leaves: dict | None = None
+    df: DataFrame, model: Model, features_col: str = "features", out_col: str = "attribution"
 ) -> DataFrame:
-    """Adds an array of Shapley values, in feature order. A forest explains the probability, boosting the margin.
-
-    `leaves` are those of `ensemble_leaves`, if the caller has them already.
-    """
-    leaves = ensemble_leaves(model) if leaves is None else leaves
-    shared = df.sparkSession.sparkContext.broadcast(leaves)  # bounded by the model, not by the rows
+    """Adds an array of Shapley values, in feature order. A forest explains the probability, boosting the margin."""
+    shared = df.sparkSession.sparkContext.broadcast(ensemble_walks(model))  # bounded by the model, not by the rows
     rows = as_double_array(df, features_col)
     schema = T.StructType([*rows.schema.fields, T.StructField(out_col, T.ArrayType(T.DoubleType()))])
 

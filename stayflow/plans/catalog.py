@@ -606,9 +606,9 @@ def tree_attribution(spark, sf):
     pipeline, rows = _forest(spark, sf)
     features, model = pipeline.stages
     scored = classifiers.with_probability(model, features.transform(rows)).select(ID_COL, "p", "features")
-    leaves = attribution.ensemble_leaves(model)
-    out = attribution.tree_attributions(scored, model, leaves=leaves)
-    total = F.aggregate("attribution", F.lit(float(attribution.base_value(leaves))), lambda s, v: s + v)
+    out = attribution.tree_attributions(scored, model)
+    base = attribution.base_value(attribution.ensemble_leaves(model))
+    total = F.aggregate("attribution", F.lit(float(base)), lambda s, v: s + v)
     return out.select(ID_COL, F.size("attribution").alias("n_features"), F.round(F.abs(F.col("p") - total), 6).alias("gap"))
 
 
