@@ -533,11 +533,17 @@ def mlp_metrics(spark, sf):
 def tune_champion(spark, sf):
     """15 draws from each of the full spaces."""
     train, test = split_tables(spark, sf)
-    reported, info = jobs.tune_and_evaluate_all(train, test)
+    folder = shared_path(spark, "tuned")
+    reported, info = jobs.tune_and_evaluate_all(train, test, out_dir=folder)
+    stored = load_report(spark, f"{folder}/hyperparameter_tuning_results.json").first()
+    name, pipeline = load_preferred_model(spark, folder)
+    agrees = stored["champion_model"] == info["champion_model"] and name == "tuned_champion_model" and all(
+        stored["best_params"][k].asDict() == v for k, v in info["best_params"].items()
+    )
     won = reported.where("champion").drop("champion")
-    facts = _holdout_facts(spark, won, [info["pipeline"]], test)
+    facts = _holdout_facts(spark, won, [pipeline], test)
     higher = reported.agg((F.max("cv_pr_auc") == F.max(F.when(F.col("champion"), F.col("cv_pr_auc")))).alias("best_by_cv")).first()[0]
-    return facts.drop("model_name").withColumn("best_by_cv", F.lit(higher))
+    return facts.drop("model_name").withColumn("best_by_cv", F.lit(higher)).withColumn("report_agrees", F.lit(agrees))
 
 
 @query
@@ -718,6 +724,33 @@ def report_source(spark, sf):
     return load_report(spark, path).select("total_customers", "high_risk_customers", "medium_risk_customers", "low_risk_customers")
 
 
+@query
+def report_files(spark, sf):
+    """Every report that the jobs write, read back: customers it accounts for, and whether it says what the job returned."""
+    pipeline, rows = _forest(spark, sf)
+    folder = shared_path(spark, "reports")
+    personas = jobs.segmentation_job(retail_raw(spark, sf), folder, k_range=range(2, 6)).collect()  # one row a segment
+    report = jobs.generate_integrated_risk_report(retail_raw(spark, sf), churn_raw(spark, sf), pipeline, folder).first()
+    jobs.generate_shap_explanations(pipeline, rows, folder)
+    read = lambda name: spark.read.option("header", True).option("inferSchema", True).csv(f"{folder}/{name}.csv")
+    segments, matrix, cohorts = (read(n).collect() for n in ("customer_segments_with_personas", "segment_risk_matrix", "priority_action_cohorts"))  # 9, 10 and 50 rows at most
+    margins = next(r for r in matrix if r["Persona"] == "Total")
+    stored = load_report(spark, f"{folder}/integrated_risk_report.json").first()
+    shap = load_report(spark, f"{folder}/shap_explainability_report.json").first()
+    explained = load_report(spark, f"{folder}/customer_explanations.parquet")
+    counts = ("total_customers", "high_risk_customers", "medium_risk_customers", "low_risk_customers")
+    at_risk = report["high_risk_customers"] + report["medium_risk_customers"]
+    order = [(-r["Churn_Probability"], -r["Monetary"]) for r in cohorts]
+    facts = [
+        ("personas", sum(r["Customer_Count"] for r in segments), sorted(r["Persona"] for r in segments) == sorted(r["Persona"] for r in personas)),
+        ("matrix", margins["Total"], all(margins[f"{t} Risk"] == report[f"{t.lower()}_risk_customers"] for t in ("High", "Medium", "Low"))),
+        ("cohorts", stored["total_customers"], len(cohorts) == min(50, at_risk) and order == sorted(order)),
+        ("risk_report", stored["total_customers"], all(stored[c] == report[c] for c in counts)),
+        ("attribution_report", explained.count(), len(shap["global_top_features"]) == 15 and shap["sample_customer_explanation"]["customer_id"] is not None),
+    ]
+    return spark.createDataFrame(facts, "report string, n_customers long, as_returned boolean")
+
+
 @query
 def split_source(spark, sf):
     """Train and test tables written and read back."""

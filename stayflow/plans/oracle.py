@@ -418,7 +418,7 @@ SELECT count(*) AS n_rows, 5 * count(*) AS n_edges, 0 AS n_loops, 0 AS n_repeate
     "gbt_smote_metrics": _holdout(*_GBT),
     "mlp_metrics": _holdout("Deep Tabular MLP"),
     "tune_champion": "WITH " + SPLIT + """
-SELECT count(*) AS n_rows, count(*) FILTER (Churn = 1) AS n_positive, true AS rates_agree, true AS auc_in_range, true AS best_by_cv
+SELECT count(*) AS n_rows, count(*) FILTER (Churn = 1) AS n_positive, true AS rates_agree, true AS auc_in_range, true AS best_by_cv, true AS report_agrees
 FROM split WHERE split = 'test'""",
     "smote_balance": "WITH " + CHURN + """,
 n AS (SELECT Churn, count(*) AS n FROM churn GROUP BY Churn)
@@ -439,6 +439,11 @@ FROM {_WANTED} LEFT JOIN churn ON id = CustomerID""",
     "parquet_source": "WITH " + CLEAN + "," + CHURN + """
 SELECT CustomerID, Churn, count(*) AS n_rows FROM churn JOIN clean ON CustomerID = "Customer ID" GROUP BY ALL""",
     "model_source": "WITH " + CHURN + " SELECT CustomerID AS customer_id, true AS same, 'baseline_random_forest' AS model FROM churn",
+    "report_files": "WITH " + RFM + "," + CHURN + """,
+b AS (SELECT count(*) AS n FROM rfm JOIN churn ON "Customer ID" = CustomerID)
+SELECT 'personas' AS report, count(*) AS n_customers, true AS as_returned FROM rfm
+UNION ALL SELECT unnest(['matrix', 'cohorts', 'risk_report']), n, true FROM b
+UNION ALL SELECT 'attribution_report', count(*), true FROM churn""",
     "risk_report": "WITH " + RFM + "," + CHURN + """
 SELECT count(*) AS total_customers, true AS tiers_add_up, true AS margins_agree, CAST(least(count(*), 5) AS INT) AS n_sample, true AS known_count
 FROM rfm JOIN churn ON "Customer ID" = CustomerID""",
