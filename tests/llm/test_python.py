@@ -1,5 +1,6 @@
 """Operators 1, 4, 5, 6, 7 and 9."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -363,3 +364,44 @@ def test_quality_of_hostile_rows_and_without_labels(spark, monkeypatch):
     assert quality.quality(no_docs(spark), labels, F.col("source"), F.col("lang")).count() == 0
     monkeypatch.setattr("stayflow.llm.common.BROADCAST_ROWS", 0)
     assert quality.quality(docs, labels, F.col("source"), F.col("lang")).count() == len(EDGES)
+
+
+def posteriors_by_hand(rows, prior):
+    """(host, path, p) rows -> (p_host, p_path, posterior), sums in dictionaries."""
+    hosts, paths = {}, {}
+    for h, t, p in rows:
+        for table, key in ((hosts, h), (paths, (h, t))):
+            n, s, ss = table.get(key, (0, 0.0, 0.0))
+            table[key] = (n + 1, s + p, ss + p * p)
+    mean = sum(p for *_, p in rows) / len(rows)
+
+    def weight(table, parent):
+        big = {k: v for k, v in table.items() if v[0] > 1}
+        n = sum(v[0] for v in big.values())
+        if n <= len(big):
+            return quality.MOST_PRIOR
+        within = sum(ss - s * s / m for m, s, ss in big.values()) / (n - len(big))
+        spread = sum(m * (s / m - parent(k)) ** 2 for k, (m, s, _) in big.items())
+        between = (spread - len(big) * within) / n
+        return quality.MOST_PRIOR if between <= 0 else min(quality.MOST_PRIOR, max(quality.LEAST_PRIOR, within / between))
+
+    a = weight(hosts, lambda _: mean)
+    b = weight(paths, lambda k: (hosts[k[0]][1] + a * mean) / (hosts[k[0]][0] + a))
+    logit = lambda x: math.log(min(max(x, 1e-6), 1 - 1e-6) / (1 - min(max(x, 1e-6), 1 - 1e-6)))
+    out = []
+    for h, t, p in rows:
+        p_host = (hosts[h][1] - p + a * mean) / (hosts[h][0] - 1 + a)
+        p_path = (paths[h, t][1] - p + b * p_host) / (paths[h, t][0] - 1 + b)
+        out.append((p_host, p_path, 1 / (1 + math.exp(-(logit(p) + logit(p_path) - logit(prior))))))
+    return out
+
+
+def test_posteriors_equal_two_dictionaries(spark):
+    docs, labels, _ = graded(spark)
+    got = quality.quality(docs, labels, F.col("source"), F.pmod("doc_id", F.lit(7)).cast("string")).collect()
+    prior = quality.train(docs, labels).prior
+    want = posteriors_by_hand([(r["host"], r["path"], r["p"]) for r in got], prior)
+    assert {r["host"] for r in got} == {"a", "b", None}
+    for r, (p_host, p_path, posterior) in zip(got, want):
+        assert (r["p_host"], r["p_path"], r["posterior"]) == (pytest.approx(p_host), pytest.approx(p_path), pytest.approx(posterior))
+        assert r["keep"] == (r["posterior"] >= quality.KEEP_FROM)
