@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayflow.functions.columns import q
-from stayflow.operators.boosting import ROWS_A_TASK, summed_counts, uniform
+from stayflow.operators.boosting import ROWS_A_TASK, in_blocks, summed_counts, uniform
 
 TOLERANCE = 1e-4
 # Adam's decay rates and the term that keeps its step finite.
@@ -129,7 +129,7 @@ def train(df: DataFrame, net: Net = Net(), label_col: str = "Churn", key_col: st
     first = rows.mapInArrow(as_bytes, "h long, y int, x binary").persist()
     n, cores = first.count(), df.sparkSession.sparkContext.defaultParallelism
     parts = max(1, -(-n // 50_000), min(-(-n // ROWS_A_TASK), cores))
-    ready = first.repartition(parts, "h").persist()
+    ready = in_blocks(first.repartition(parts, "h"))
     try:
         layers = first_layers(width, net)
         flat = packed(layers)
