@@ -22,7 +22,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (similarity of five-word shingles at least 0.8) stays."""
+    """One document of each group of near copies (similarity of five-word shingles at least 0.8) stays; candidates are what op5's
+    SimHash links and what MinHash keys share."""
     return near_copies.near_dedup(docs)
 
 

@@ -4,6 +4,9 @@ Two texts are linked if the sets of their shingles (five words, ASCII case and w
 at least 0.8. Every set gets 32 keys, each of five least hashes; sets at 0.8 share none of them with a probability of
 0.67 ** 32, about 3e-6 (measured recall against brute force in the tests). No pair is linked before its shingle sets themselves were compared.
 
+SimHash, the method of `op5_simhash`, comes first: what its operator links (four words, four bits), and texts of one fingerprint, are
+candidates beside those of the keys, and their shingles decide about them too. By itself it would miss most pairs at 0.8 (README).
+
 Texts of one shingle set are one row before anything is indexed. In each key's group all members are compared with the
 least and the greatest one, which joins dense groups; after that members of different classes are compared. In a group of up to
 HOT members these are all its pairs. Sets that stand under larger groups go through a prefix filter together: ordered by how
@@ -29,6 +32,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from stayflow.functions.columns import q
 from stayflow.llm.common import kept_whole
 from stayflow.llm.components import components
+from stayflow.llm import simhash
 from stayflow.llm.simhash import LOWER, first_of_each, word_chunks
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
@@ -89,21 +93,22 @@ def sketch(found: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
-    """(id, digest, fp, n, keys) of every row: `fp` names its shingle set, `n` is the set's size."""
+    """(id, digest, fp, n, mark, keys) of every row: `fp` names its shingle set, `n` is the set's size, `mark` its SimHash fingerprint."""
     rows = docs.select(q(id_col).alias("id"), q(text_col).cast("string").alias("text"), F.xxhash64(q(text_col)).alias("digest"))
-    numbers = [StructField(c, LongType()) for c in ("digest", "fp", "n")]
+    numbers = [StructField(c, LongType()) for c in ("digest", "fp", "n", "mark")]
     out = StructType([rows.schema["id"], *numbers, StructField("keys", ArrayType(LongType()))])
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, n, keys = [], [], []
+            fp, n, marks, keys = [], [], [], []
             for t in b.column("text"):
                 found = shingles(t.as_py(), shingle)
+                marks.append(simhash.fingerprint(t.as_py()))
                 fp.append(xxhash.xxh3_64_intdigest(found.tobytes()))
                 n.append(len(found))
                 keys.append(band_keys(found))
-            made = [pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("digest"), *made], ["id", "digest", "fp", "n", "keys"])
+            made = [pa.array(np.array(fp, np.uint64).view(np.int64)), *(pa.array(c, pa.int64()) for c in (n, marks)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("digest"), *made], ["id", "digest", "fp", "n", "mark", "keys"])
 
     return rows.mapInArrow(of_batches, out)
 
@@ -222,13 +227,30 @@ def _prefix_pairs(tokens: DataFrame, sets: DataFrame, similarity: float) -> Data
     return pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def links(index: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, hot: int = HOT) -> DataFrame:
-    """(u, v): enough of the linked pairs among `index` (key, fp, n) to join all that are linked and share a key."""
+def fingerprint_pairs(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(u, v): sets whose SimHash fingerprints are equal or linked, of sizes that allow the similarity; `nodes` are (fp, n, mark).
+
+    A fingerprint's least set stands for it; the others of that fingerprint are its pairs.
+    """
+    sized = nodes.where(F.col("n") > 0)
+    least = kept_whole(sized.groupBy("mark").agg(F.min(F.struct("fp", "n")).alias("one"), F.count(F.lit(1)).alias("m")))
+    alike = sized.join(least.where(F.col("m") > 1), "mark").where(F.col("fp") != F.col("one.fp"))
+    ends = [least.select(F.col("mark").alias(c), F.col("one").alias(f"{c}_one")) for c in ("u", "v")]
+    near = simhash.links(least.select(F.col("mark").alias("fp"))).join(ends[0], "u").join(ends[1], "v")
+    pairs = alike.select(F.struct("fp", "n").alias("u_one"), F.col("one").alias("v_one")).unionByName(near.select("u_one", "v_one"))
+    pairs = pairs.where(_sizes_allow(F.col("u_one.n"), F.col("v_one.n"), similarity))
+    return kept_whole(pairs.select(F.greatest("u_one.fp", "v_one.fp").alias("u"), F.least("u_one.fp", "v_one.fp").alias("v")).distinct())
+
+
+def links(index: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, hot: int = HOT, more: DataFrame | None = None) -> DataFrame:
+    """(u, v): enough of the linked pairs among `index` (key, fp, n) to join all that are linked and share a key, and those
+    of the candidates `more` (u, v) that are linked."""
     ends = index.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("first"), F.max(F.struct("fp", "n")).alias("last"), F.count(F.lit(1)).alias("m"))
     ended = index.join(ends, "key").select("fp", "n", F.explode(F.array("first", "last")).alias("end"))
     ended = ended.where((F.col("fp") != F.col("end.fp")) & _sizes_allow(F.col("n"), F.col("end.n"), similarity))
-    stars = ended.groupBy(F.greatest("fp", "end.fp").alias("u"), F.least("fp", "end.fp").alias("v")).agg(F.count(F.lit(1)).alias("weight"))
-    tried = kept_whole(stars)
+    stars = ended.select(F.greatest("fp", "end.fp").alias("u"), F.least("fp", "end.fp").alias("v"))
+    stars = stars if more is None else stars.unionByName(more)
+    tried = kept_whole(stars.groupBy("u", "v").agg(F.count(F.lit(1)).alias("weight")))
     found = _settled(tried, sets, similarity)
     if found is None:
         return index.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
@@ -259,11 +281,15 @@ def near_dedup(
     """One document of each class of linked texts: the least id (then the least text digest). Of equal rows one stays."""
     marks = kept_whole(signatures(docs, id_col, text_col, shingle))
     one = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")).alias("one")
-    nodes = marks.groupBy("fp").agg(one, F.first("n").alias("n"), F.first("keys").alias("keys"))
+    # texts of one set may differ in order and so in fingerprint; the least stands for them, whatever the partitions
+    nodes = marks.groupBy("fp").agg(one, F.first("n").alias("n"), F.min("mark").alias("mark"), F.first("keys").alias("keys"))
     index = nodes.select(F.explode("keys").alias("key"), "fp", "n", "one")
     shared = index.groupBy("key").count().where(F.col("count") > 1).select("key")
     index = _fewer(kept_whole(index.join(shared, "key")), PAIRS_A_TASK)
-    chosen = index.select("fp", "one.id", "one.digest").dropDuplicates(["fp"])
-    roots = components(links(index.select("key", "fp", "n"), _sets(docs, chosen, id_col, text_col, shingle), similarity), few_tasks=True)
+    more = fingerprint_pairs(nodes.select("fp", "n", "mark"), similarity)
+    named = nodes.join(more.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), "fp", "left_semi")
+    chosen = index.select("fp", "one.id", "one.digest").unionByName(named.select("fp", "one.id", "one.digest")).dropDuplicates(["fp"])
+    sets = _sets(docs, chosen, id_col, text_col, shingle)
+    roots = components(links(index.select("key", "fp", "n"), sets, similarity, more=more), few_tasks=True)
     named = marks.select("id", "digest", "fp").join(roots, F.col("fp") == F.col("node"), "left")
     return first_of_each(docs, named.select(F.coalesce("root", "fp").alias("root"), "id", "digest"), id_col, text_col)

@@ -150,3 +150,14 @@ def test_sketches_bound_the_difference():
         a, b = (near_copies.np.unique(near_copies.np.array(base + [rng.getrandbits(64) for _ in range(k)], "uint64")) for k in (5, 30))
         bits = int(near_copies.np.bitwise_count(near_copies.sketch(a) ^ near_copies.sketch(b)).sum())
         assert 0 < bits <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_what_simhash_links_is_verified_beside_the_keys(spark, monkeypatch):
+    words = [f"w{k}" for k in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, "far " * 3 + " ".join(reversed(words))), (4, None), (5, " ")]
+    docs, calls, plain = spark.createDataFrame(rows, "doc_id long, text string"), [], near_copies.simhash.links
+    monkeypatch.setattr(near_copies.simhash, "links", lambda *a: calls.append(1) or plain(*a))
+    monkeypatch.setattr(near_copies, "band_keys", lambda found: [])  # candidates of the fingerprints alone
+    got = {r["doc_id"] for r in near_copies.near_dedup(docs).collect()}
+    near = bin((near_copies.simhash.fingerprint(rows[0][1]) ^ near_copies.simhash.fingerprint(rows[1][1])) & (2**64 - 1)).count("1") <= 4
+    assert near and calls and got == {1, 3, 4}
