@@ -237,3 +237,42 @@ def test_starts_are_drawn_over_all_rows_when_copies_stand_together(spark):
     assert len({tuple(c) for c in starts[8, 1]}) == 6 and len(starts[8, 1]) == 8
     assert (starts[3, 0] == starts[6, 0][:3]).all()
     assert fit_kmeans(rows.withColumnRenamed("x", "features"), 6, restarts=1).training_cost == pytest.approx(0, abs=1e-6)
+
+
+def test_many_dimensions_meet_in_packed_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from stayflow.operators import distances as D
+
+    monkeypatch.setattr(D, "CELL_ROWS", 20)
+    monkeypatch.setattr(D, "PACK_ROWS", 70)
+    monkeypatch.setattr(D, "TILE", (8, 16))
+    calls, packed, shipped = [], D._search_packed, D._cells_to_visit
+    monkeypatch.setattr(D, "_search_packed", lambda *a: calls.append("packed") or packed(*a))
+    monkeypatch.setattr(D, "_cells_to_visit", lambda *a: calls.append("cells") or shipped(*a))
+    x = np.random.default_rng(6).normal(size=(300, 12))
+    x[250:] = x[:50]
+    df = spark.createDataFrame([(f"c{i:03}", v.tolist()) for i, v in enumerate(x)], "id string, features array<double>")
+    got = {(r["src"], r["rank"]): (r["dst"], r["distance"]) for r in D.knn_graph(df, 3).collect()}
+    assert calls == ["packed"] and len(got) == 900
+    for i in range(300):
+        gaps = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        want = sorted((gaps[j], f"c{j:03}") for j in range(300) if j != i)[:3]
+        assert [got[f"c{i:03}", k][0] for k in (1, 2, 3)] == [j for _, j in want]
+        assert np.allclose([got[f"c{i:03}", k][1] for k in (1, 2, 3)], [g for g, _ in want])
+
+
+def test_tiles_of_distances_equal_plain_differences_even_for_copies():
+    import numpy as np
+
+    from stayflow.operators import distances as D
+
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=(300, 3)) + 1e4, rng.normal(size=(1500, 3)) + 1e4
+    b[:300] = a
+    hot = [np.eye(2)[rng.integers(0, 2, n)] for n in (300, 1500)]
+    there, back = D._tile_sums(a, b, *hot, mirrored=True)
+    plain = D._distances(a, b)
+    assert np.allclose(there, plain @ hot[1], rtol=1e-10) and np.allclose(back, plain.T @ hot[0], rtol=1e-10)
+    same = np.ones((40, 3)) * 0.3
+    assert not D._tile_sums(same, same, np.ones((40, 1)), np.ones((40, 1)), mirrored=False)[0].any()
