@@ -7,8 +7,12 @@ that follows the path at feature j and o_j = 1 if the row itself follows it, the
     v (o_i - z_i) * integral over t in [0, 1] of  prod_{j != i} (o_j t + z_j (1 - t)) dt
 
 because the Shapley weight s!(m-1-s)!/m! is the Beta integral of t^s (1-t)^(m-1-s). The integrand is a polynomial
-of degree m-1, so Gauss-Legendre nodes give it exactly. The products are carried down the tree and summed up it again, so a
-row costs a few operations a node and quadrature node, not one for every feature of every leaf's path.
+of degree m-1, so Gauss-Legendre nodes give it exactly.
+
+What a leaf gives a row depends only on the bits o_j, so the values of all bit patterns are worked out once a tree and a row looks its
+own up: leaves below one node share a table while the bits of its path and the sides taken below it are few (BITS). A row costs
+one look-up for each feature of such a node, and no product. Trees with longer paths, few rows and rows with NaN are walked instead: the
+products are carried down the tree and summed up it again.
 """
 
 from __future__ import annotations
@@ -32,6 +36,10 @@ from stayflow.session import removed, shared_path
 
 #: Numbers (nodes x quadrature nodes x rows) of one tree that are walked at a time; they should stay in a core's cache.
 WALK_CELLS = 200_000
+#: Bits of a table of values (its states are two to that power); rows that are looked up at a time.
+BITS, LED = 11, 4096
+#: Rows that a task gathers for one set of tables, and the least that are worth building them.
+GATHERED, FEW = 1 << 16, 1500
 
 
 # ---------------------------------------------------------------- tree values
@@ -115,7 +123,7 @@ class Walk:
 
     Per node but the root: the path's interval (lo, hi] and cover share of its feature, and the node above it that tested the
     same feature. `when` and `unless` are the factors o t + z (1 - t) at the quadrature nodes for o = 1 and 0, `gain` and `loss` are
-    weight x (o - z) / factor.
+    weight x (o - z) / factor. `child` is the left one of a node's two children, 0 at a leaf; `cut` is the node's own.
     """
 
     feature: np.ndarray
@@ -129,6 +137,8 @@ class Walk:
     unless: np.ndarray
     gain: np.ndarray
     loss: np.ndarray
+    child: np.ndarray
+    cut: np.ndarray
 
 
 def ensemble_walks(model: Model) -> list[Walk]:
@@ -137,13 +147,14 @@ def ensemble_walks(model: Model) -> list[Walk]:
     for nodes in _stored_trees(model):
         if nodes[0][2] is None:
             continue
-        rows, levels, level = [(0, -np.inf, np.inf, 1.0, 0, -1, 0.0)], [(0, 1)], [(0, 0, {})]
+        rows, levels, level, splits = [(0, -np.inf, np.inf, 1.0, 0, -1, 0.0)], [(0, 1)], [(0, 0, {})], {}
         while level:
             below = []
             for node, place, path in level:
                 f, cut, left, right, cover, _ = nodes[node]
                 if left is None:
                     continue
+                splits[place] = (len(rows), cut)
                 lo, hi, z, above = path.get(f, (-np.inf, np.inf, 1.0, -1))
                 for child, part in ((left, (lo, min(hi, cut))), (right, (max(lo, cut), hi))):
                     share = max(z * nodes[child][4] / cover, 1e-12)
@@ -154,19 +165,133 @@ def ensemble_walks(model: Model) -> list[Walk]:
                 levels.append((below[0][1], len(rows)))
             most = max([most, *(len(path) for *_, path in below)])
             level = below
-        shaped.append((rows, levels))
+        shaped.append((rows, levels, splits))
     t, w = np.polynomial.legendre.leggauss((most + 1) // 2)
     t, w = (t + 1) / 2, w / 2
     out = []
-    for rows, levels in shaped:
+    for rows, levels, splits in shaped:
         feature, lo, hi, z, parent, above, value = (np.array(c) for c in zip(*rows))
         when, unless = t + z[:, None] * (1 - t), z[:, None] * (1 - t)
         gain, loss = w * (1 - z)[:, None] / when, w * -z[:, None] / unless
-        out.append(Walk(feature, lo, hi, parent, above, value, levels, when, unless, gain, loss))
+        child, cut = (np.array([splits.get(k, (0, 0.0))[i] for k in range(len(rows))]) for i in (0, 1))
+        out.append(Walk(feature, lo, hi, parent, above, value, levels, when, unless, gain, loss, child, cut))
+    return out
+
+
+@dataclass
+class Table:
+    """Values of the leaves below one node, features x states. A state's low bits tell, in the order in which the path first tests
+    them, whether the row is within the path's interval of a feature; the next ones whether it goes left at each of `splits`."""
+
+    features: list[int]
+    splits: list[int]
+    values: np.ndarray
+
+
+def tree_tables(tree: Walk, bits: int = BITS) -> dict[int, Table] | None:
+    """Tables by node, one on every path; None if a leaf has more path features than `bits`."""
+    child = tree.child.tolist()
+    inner = [0] * len(child)
+    for node in range(len(child) - 1, -1, -1):  # children come after their node
+        if child[node]:
+            inner[node] = 1 + inner[child[node]] + inner[child[node] + 1]
+    out, todo = {}, [(0, {})]
+    while todo:
+        node, path = todo.pop()
+        if len(path) + inner[node] <= bits:
+            out[node] = _table(tree, node, path)
+        elif not child[node]:
+            return None
+        else:
+            todo += [(k, {**path, int(tree.feature[k]): k}) for k in (child[node], child[node] + 1)]
     return out
 
 
+def _table(tree: Walk, top: int, path: dict[int, int]) -> Table:
+    """`path` has the lowest node above or at `top` that follows a test of each feature, in the order of the first tests."""
+    features, splits, parts = list(path), [], []
+    todo = [(top, path, ())]
+    while todo:
+        node, now, sides = todo.pop()
+        if not tree.child[node]:
+            parts.append((node, now, sides))
+            continue
+        splits.append(node)
+        for k, left in ((tree.child[node], 1), (tree.child[node] + 1, 0)):
+            f = int(tree.feature[k])
+            features += [] if f in features else [f]
+            todo.append((k, {**now, f: k}, (*sides, (f, len(path) + len(splits) - 1, left))))
+    place, row = {f: i for i, f in enumerate(path)}, {f: i for i, f in enumerate(features)}
+    state = np.arange(1 << (len(path) + len(splits)))
+    values = np.zeros((len(features), len(state)))
+    for leaf, now, sides in parts:
+        within = {f: state >> i & 1 for f, i in place.items()}
+        for f, bit, left in sides:
+            side = state >> bit & 1 if left else 1 - (state >> bit & 1)
+            within[f] = within[f] & side if f in within else side
+        pattern = sum((within[f] << j for j, f in enumerate(now)), np.zeros_like(state))
+        values[[row[f] for f in now]] += _leaf_values(tree, list(now.values()), tree.value[leaf]).take(pattern, axis=1)
+    return Table(features, splits, values)
+
+
+def _leaf_values(tree: Walk, nodes: list[int], value: float) -> np.ndarray:
+    """What a leaf gives the features of its path for every pattern of bits, features x patterns."""
+    product = np.full((1, tree.when.shape[1]), value)
+    for k in nodes:
+        product = np.concatenate((product * tree.unless[k], product * tree.when[k]))
+    follows = np.arange(len(product)) >> np.arange(len(nodes))[:, None] & 1
+    return np.where(follows, tree.gain[nodes] @ product.T, tree.loss[nodes] @ product.T)
+
+
+def _looked_up(x: np.ndarray, tree: Walk, tables: dict[int, Table], phi: np.ndarray) -> None:
+    """Adds the values of one tree; `x` and `phi` are features x rows."""
+    todo = [(0, {}, np.zeros(x.shape[1], np.uint16))]
+    held = np.empty(x.shape[1])
+    while todo:
+        node, places, state = todo.pop()
+        if node in tables:
+            table = tables[node]
+            for i, k in enumerate(table.splits):
+                left = x[tree.feature[tree.child[k]]] <= tree.cut[k]
+                state = state | np.multiply(left, 1 << (len(places) + i), dtype=np.uint16)
+            at = state.astype(np.intp)
+            for f, values in zip(table.features, table.values):
+                values.take(at, out=held, mode="clip")
+                phi[f] += held
+            continue
+        first = int(tree.child[node])
+        f = int(tree.feature[first])
+        left = x[f] <= tree.cut[node]
+        for k, side in ((first, left), (first + 1, ~left)):
+            if f in places:
+                todo.append((k, places, state & ~np.multiply(~side, 1 << places[f], dtype=np.uint16)))
+            else:
+                todo.append((k, {**places, f: len(places)}, state | np.multiply(side, 1 << len(places), dtype=np.uint16)))
+
+
 def tree_values(x: np.ndarray, walks: list[Walk]) -> np.ndarray:
+    """Shapley values, rows x features."""
+    whole = ~np.isnan(x).any(axis=1)
+    if whole.sum() < FEW:
+        return walked_values(x, walks)
+    if not whole.all():
+        phi = np.zeros_like(x, dtype=float)
+        phi[whole], phi[~whole] = tree_values(x[whole], walks), walked_values(x[~whole], walks)
+        return phi
+    turned, phi, deep = np.ascontiguousarray(x.T, dtype=float), np.zeros(x.shape[::-1]), []
+    for tree in walks:
+        tables = tree_tables(tree)
+        if tables is None:
+            deep.append(tree)
+            continue
+        for b in range(0, len(x), LED):
+            part = np.zeros((x.shape[1], len(x[b:b + LED])))
+            _looked_up(np.ascontiguousarray(turned[:, b:b + LED]), tree, tables, part)
+            phi[:, b:b + LED] += part
+    return phi.T + walked_values(x, deep)
+
+
+def walked_values(x: np.ndarray, walks: list[Walk]) -> np.ndarray:
     """Shapley values, rows x features, in one walk down and one up each tree.
 
     Down, every node carries the product of its path's factors; up, it gathers product x value of its leaves. The leaves below an
@@ -203,19 +328,35 @@ def _share(gathered: np.ndarray, tree: Walk, nodes: np.ndarray, follows: np.ndar
     return np.where(follows, np.einsum("nqr,nq->nr", gathered, tree.gain[nodes]), np.einsum("nqr,nq->nr", gathered, tree.loss[nodes]))
 
 
+def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[list[pd.DataFrame]]:
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+        if sum(map(len, held)) >= GATHERED:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def tree_attributions(
     df: DataFrame, model: Model, features_col: str = "features", out_col: str = "attribution"
 ) -> DataFrame:
-    """Adds an array of Shapley values, in feature order. A forest explains the probability, boosting the margin."""
+    """Adds an array of Shapley values, in feature order. A forest explains the probability, boosting the margin.
+
+    Rows are dealt evenly to two tasks a core: tables are built once a task, so many small tasks would mostly build.
+    """
+    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
     shared = df.sparkSession.sparkContext.broadcast(ensemble_walks(model))  # bounded by the model, not by the rows
-    rows = as_double_array(df, features_col)
+    rows = as_double_array(df, features_col).repartition(tasks)
     schema = T.StructType([*rows.schema.fields, T.StructField(out_col, T.ArrayType(T.DoubleType()))])
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees = shared.value
-        for batch in batches:
-            if len(batch):
-                batch[out_col] = list(tree_values(np.stack(batch[features_col].to_numpy()).astype(float), trees))
+        for held in _gathered(batches):
+            values = tree_values(np.concatenate([np.stack(b[features_col].to_numpy()).astype(float) for b in held]), shared.value)
+            for batch, part in zip(held, np.split(values, np.cumsum([len(b) for b in held])[:-1])):
+                batch[out_col] = list(part)
                 yield batch
 
     return rows.mapInPandas(explain, schema)
@@ -265,16 +406,18 @@ def global_feature_importance(df: DataFrame, names: list[str], top_n: int | None
 
 
 def _factors(names: list[str], attribution: Column, values: Column) -> Column:
+    """What the choice of factors needs of every feature; the rest is worked out for the chosen ones."""
     labels = F.array(*[F.lit(n) for n in names])
     return F.transform(
         F.arrays_zip(labels.alias("n"), attribution.alias("a"), values.alias("v")),
-        lambda e, i: F.struct(
-            half_even(e["a"], 4).alias("key"), i.alias("place"),
-            F.struct(
-                e["n"].alias("feature"), half_even(e["a"], 4).alias("shap_value"),
-                half_even(e["v"], 4).alias("feature_value"), impact(e["a"]).alias("impact"),
-            ).alias("factor"),
-        ),
+        lambda e, i: F.struct(half_even(e["a"], 4).alias("key"), i.alias("place"), e.alias("of")),
+    )
+
+
+def _factor(e: Column) -> Column:
+    return F.struct(
+        e["of"]["n"].alias("feature"), e["key"].alias("shap_value"), half_even(e["of"]["v"], 4).alias("feature_value"),
+        impact(e["of"]["a"]).alias("impact"),
     )
 
 
@@ -290,9 +433,9 @@ def explain_customers(
 
     def top(keep, sign: int) -> Column:
         ranked = F.array_sort(F.transform(
-            F.filter("_f", keep), lambda e: F.struct((e["key"] * sign).alias("k"), e["place"].alias("p"), e["factor"].alias("f"))
+            F.filter("_f", keep), lambda e: F.struct((e["key"] * sign).alias("k"), e["place"].alias("p"), e.alias("f"))
         ))
-        return F.transform(F.slice(ranked, 1, top_k), lambda e: e["f"])
+        return F.transform(F.slice(ranked, 1, top_k), lambda e: _factor(e["f"]))
 
     return rows.select(
         q(id_col).cast("string").alias("customer_id"),
