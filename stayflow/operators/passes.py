@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,24 +21,27 @@ def vectors(df: DataFrame, features_col: str) -> DataFrame:
 def summed(rows: DataFrame, work: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """Runs `work(matrix of rows) -> flat vector` batch by batch; executors add the vectors up, the driver gets one."""
 
-    def per_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            if len(batch):
-                part = work(np.stack(batch["x"].to_numpy()).astype(float))
+            if batch.num_rows:
+                flat = batch.column("x").flatten().to_numpy(zero_copy_only=False)
+                part = work(flat.reshape(batch.num_rows, -1).astype(float))
                 total = part if total is None else total + part
         if total is not None:
-            yield pd.DataFrame({"slot": np.arange(len(total), dtype="int32"), "value": total})
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype="int32")), pa.array(np.asarray(total, float))], ["slot", "value"])
 
-    parts = rows.mapInPandas(per_partition, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).collect()
+    parts = rows.mapInArrow(per_partition, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).collect()
     out = np.zeros(len(parts))
     for r in parts:
         out[r["slot"]] = r["value"]
     return out
 
 
-def squared_gaps(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    return np.maximum((x * x).sum(axis=1)[:, None] - 2.0 * x @ centers.T + (centers * centers).sum(axis=1), 0.0)
+def squared_gaps(x: np.ndarray, centers: np.ndarray, norms: np.ndarray | None = None) -> np.ndarray:
+    """`norms`, the squares of the rows, serve several sets of centers."""
+    norms = (x * x).sum(axis=1) if norms is None else norms
+    return np.maximum(norms[:, None] - 2.0 * x @ centers.T + (centers * centers).sum(axis=1), 0.0)
 
 
 def labelling_scores(rows: DataFrame, label: Callable[[np.ndarray], list[np.ndarray]], ks: list[int]) -> list[tuple[float, float | None]]:
