@@ -276,3 +276,31 @@ def test_tiles_of_distances_equal_plain_differences_even_for_copies():
     assert np.allclose(there, plain @ hot[1], rtol=1e-10) and np.allclose(back, plain.T @ hot[0], rtol=1e-10)
     same = np.ones((40, 3)) * 0.3
     assert not D._tile_sums(same, same, np.ones((40, 1)), np.ones((40, 1)), mirrored=False)[0].any()
+
+
+def test_pairs_of_blocks_shuffle_sums_that_grow_with_the_rows(spark, monkeypatch):
+    def held():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getPath(): files.apply(i).length() for i in range(files.size()) if "shuffle" in files.apply(i).getName()}
+
+    monkeypatch.setattr(D, "PACK_ROWS", 50)
+    rng = np.random.default_rng(9)
+    x, labels = rng.normal(size=(3000, 3)), rng.integers(0, 4, 3000)
+    df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, labels))], "id long, features array<double>, k int").persist()
+    df.count()
+    before = held()
+    got = {r["id"]: r["silhouette_k"] for r in D.silhouette_samples(df, ["k"], metric="euclidean").collect()}
+    assert sum(n for path, n in held().items() if path not in before) < 25 * 3000 * 4 * 8
+    gaps = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    sums, sizes = gaps @ np.eye(4)[labels], np.bincount(labels)
+    mean = sums / sizes
+    mean[np.arange(3000), labels] = np.inf
+    inside, outside = sums[np.arange(3000), labels] / (sizes[labels] - 1), mean.min(axis=1)
+    assert np.allclose([got[i] for i in range(3000)], (outside - inside) / np.maximum(inside, outside), atol=1e-9)
+
+
+def test_groups_meet_every_pair_of_blocks_once():
+    for blocks in ([0], list(range(7)), [*range(40), 55]):
+        met = [(i, j) for one, two in D._groups(blocks, 4, 3) for i in one for j in two if j >= i]
+        assert sorted(met) == [(i, j) for i in blocks for j in blocks if j >= i]
+    assert max(len(one) for one, _ in D._groups(list(range(4000)), 4, 100)) * 2 * D.PACK_ROWS * 100 * 8 <= D.SUMS_HELD
